@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import langid, packing
+from . import langid, packing, quality, secrets, toxicity, urls
 
 
 def queries() -> dict:
     return {
+        "op1_secret_scan": secrets.op1_secret_scan,
+        "op2_quality": quality.op2_quality,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op7_language_id": langid.op7_language_id,
+        "op8_url_filter": urls.op8_url_filter,
         "op9_packing": packing.op9_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_secret_scan": secrets.oracle(), "op8_url_filter": urls.oracle()}
