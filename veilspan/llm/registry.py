@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import langid, packing, quality, secrets, toxicity, urls
+from . import decontam, langid, neardup, packing, quality, secrets, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
         "op2_quality": quality.op2_quality,
+        "op3_decontamination": decontam.op3_decontamination,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_minhash": neardup.op5_minhash,
         "op7_language_id": langid.op7_language_id,
         "op8_url_filter": urls.op8_url_filter,
         "op9_packing": packing.op9_packing,
