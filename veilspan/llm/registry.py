@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, neardup, packing, quality, secrets, toxicity, urls
+from . import decontam, embeddings, langid, neardup, packing, quality, secrets, toxicity, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_decontamination": decontam.op3_decontamination,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_minhash": neardup.op5_minhash,
+        "op6_embeddings": embeddings.op6_embeddings,
         "op7_language_id": langid.op7_language_id,
         "op8_url_filter": urls.op8_url_filter,
         "op9_packing": packing.op9_packing,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secrets.oracle(), "op8_url_filter": urls.oracle()}
+    return {"op1_secret_scan": secrets.oracle(), "op6_embeddings": embeddings.ORACLE, "op8_url_filter": urls.oracle()}
