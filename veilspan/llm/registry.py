@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, embeddings, langid, neardup, packing, quality, secrets, toxicity, urls
+from . import decontam, embeddings, langid, neardup, packing, quality, secrets, substrings, toxicity, urls
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_language_id": langid.op7_language_id,
         "op8_url_filter": urls.op8_url_filter,
         "op9_packing": packing.op9_packing,
+        "op10_substrings": substrings.op10_substrings,
     }
 
 
