@@ -2,11 +2,11 @@
 
 A text is cut into lower-cased runs of letters and digits.  Each fixed mask takes five of the tokens at and after a
 position and ignores those between, so a substituted token spoils only some of the seeds around it.  Seeds of the test items
-meet seeds of the training texts in a hash join; around each hit a window of ``WINDOW`` tokens (or the whole item, where
-shorter) is laid over the text at that alignment, and the pair stands if at least ``IDENTITY`` of the window's tokens agree.
+meet seeds of the training texts in a hash join; each hit gives an alignment of item and text, and the pair stands if in some
+window of ``WINDOW`` tokens of the item (or all of it, where shorter) at least ``IDENTITY`` agree with the text.
 
-The items' seeds are broadcast while there are at most ``MOST_BROADCAST`` of them: the texts are then read once, never
-shuffled, and rows that hit nothing are never written.  Above that, seeds meet in a shuffled join.
+The items' seeds are broadcast while there are at most ``MOST_BROADCAST`` of them, so that seeds of the texts are never
+shuffled; above that they meet in a shuffled join.
 
 Defined cases: null and empty texts, and items or texts shorter than the longest mask, have no seeds and are never reported;
 repeated items report under their smallest id; repeated rows of one id count as one; a null document id is reported as null;
@@ -33,46 +33,42 @@ def tokens(text: str | Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(h: str, pos: str) -> Column:
-    """One hash for each mask at ``pos`` of a token array."""
-    return F.array(*(F.xxhash64(F.lit(k), *(F.get(h, F.col(pos) + o) for o in mask)) for k, mask in enumerate(MASKS)))
+def seeds(texts: DataFrame) -> DataFrame:
+    """(key, pos, seed) of every mask at every position of ``texts(key, h)``.
 
-
-def windows(texts: DataFrame) -> DataFrame:
-    """(key, h, pos, seed) of every mask at every position of ``texts(key, h)``."""
-    # The outer form: for the inner one Catalyst infers a filter on the array and would cut the text into tokens twice.
-    at = texts.select("key", "h", F.posexplode_outer("h").alias("pos", "_t")).where(F.col("pos") <= F.size("h") - SPAN)
-    return at.select("key", "h", "pos", F.explode(_seeds("h", "pos")).alias("seed"))
+    All seeds of a text are one array before they become rows, so that no row carries the text's tokens along."""
+    masked = ", ".join(f"xxhash64({k}, {', '.join(f'get(h, i + {o})' for o in mask)})" for k, mask in enumerate(MASKS))
+    each = F.expr(f"if(size(h) >= {SPAN}, flatten(transform(sequence(0, size(h) - {SPAN}), i -> array({masked}))), cast(array() as array<bigint>))")
+    rows = texts.select("key", F.posexplode_outer(each).alias("at", "seed")).where("seed is not null")
+    return rows.select("key", F.expr(f"cast(at div {len(MASKS)} as int)").alias("pos"), "seed")
 
 
 def items(bench: DataFrame) -> DataFrame:
-    """(item_id, h, seed, pos) of test items; repeated texts once, under their smallest id."""
-    cut = bench.select("item_id", tokens(F.col("text").cast("string")).alias("h")).groupBy("h").agg(F.min("item_id").alias("item_id"))
-    return windows(cut.select(F.col("item_id").alias("key"), "h")).select(F.col("key").alias("item_id"), F.col("h").alias("item"), F.col("pos").alias("ipos"), "seed").distinct()
+    """(item_id, item): tokens of test items; repeated texts once, under their smallest id."""
+    cut = bench.select("item_id", tokens(F.col("text").cast("string")).alias("item"))
+    return cut.groupBy("item").agg(F.min("item_id").alias("item_id"))
 
 
 def overlaps(docs: DataFrame, bench: DataFrame, key: str = "doc_id", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(key, item_id, matched, window, at): contaminated texts of ``docs(key, text)``.
 
-    matched: most agreeing tokens of a verified window; window: its size; at: first token of the text under such a window.
-    """
+    matched: most agreeing tokens of a window of the item; window: its size; at: where the item would begin in the text."""
     own = common.written(items(bench))
-    texts = docs.select(F.col(key).alias("key"), tokens(F.col("text").cast("string")).alias("h"))
-    few = own.count() <= most_broadcast
-    if few:
-        hits = windows(texts).join(F.broadcast(own), "seed")
-    else:
-        texts = texts.withColumn("key", F.struct("key", F.xxhash64("h").alias("row")))
-        met = windows(texts).select("key", "pos", "seed").join(own, "seed").drop("seed")
-        hits = met.join(texts, "key").withColumn("key", F.col("key.key"))
-    # The window's middle is the seed's, moved inwards at the item's ends.
-    size = F.least(F.lit(WINDOW), F.size("item"))
-    start = F.greatest(F.lit(0), F.least(F.col("ipos") + F.lit((SPAN - WINDOW) // 2), F.size("item") - size))
-    placed = hits.select("key", "item_id", "item", "h", size.alias("window"), start.alias("istart"), (F.col("pos") - F.col("ipos") + start).alias("at"))
-    # Tokens of the text under the window; those before or after the text agree with nothing.
-    agree = F.expr("aggregate(sequence(0, window - 1), 0, (n, i) -> n + if(at + i >= 0 and coalesce(get(h, at + i) = get(item, istart + i), false), 1, 0))")
-    verified = placed.select("key", "item_id", "window", "at", agree.alias("matched")).where(F.col("matched") >= F.ceil(F.lit(IDENTITY) * F.col("window")))
-    return verified.groupBy("key", "item_id").agg(F.max("matched").alias("matched"), F.max("window").alias("window"), F.min("at").alias("at")).withColumnRenamed("key", key)
+    theirs = common.written(seeds(own.select(F.col("item_id").alias("key"), F.col("item").alias("h"))).select(F.col("key").alias("item_id"), F.col("pos").alias("ipos"), "seed").distinct())
+    row = F.xxhash64(F.col(key), F.col("text").cast("string"))
+    texts = docs.select(row.alias("key"), tokens(F.col("text").cast("string")).alias("h"))
+    mark = F.broadcast(theirs) if theirs.count() <= most_broadcast else theirs
+    # Hits of one passage share an alignment: one row for each, whatever the number of its seeds.
+    hits = seeds(texts).join(mark, "seed").groupBy("key", "item_id", (F.col("pos") - F.col("ipos")).alias("at")).agg(F.count("*").alias("n"))
+    lined = common.written(hits.join(own, "item_id").groupBy("key").agg(F.collect_list(F.struct("item_id", "at", "item")).alias("hits")))
+    met = docs.select(F.col(key).alias("_id"), row.alias("key"), F.col("text").cast("string").alias("text")).join(lined, "key").select("_id", tokens("text").alias("h"), "hits")
+    # Per alignment: tokens that agree, as 0 and 1, and the best sum over a window; beyond the text nothing agrees.
+    agree = "transform(x.item, (t, i) -> if(x.at + i >= 0 and coalesce(get(h, x.at + i) = t, false), 1, 0))"
+    size = f"least({WINDOW}, size(x.item))"
+    best = f"array_max(transform(sequence(0, size(x.item) - {size}), j -> aggregate(slice(y, j + 1, {size}), 0, (n, e) -> n + e)))"
+    scored = f"transform(hits, x -> struct(x.item_id as item_id, x.at as at, {size} as window, transform(array({agree}), y -> {best})[0] as matched))"
+    rows = met.select("_id", F.explode(F.expr(f"filter({scored}, r -> r.matched >= ceil({IDENTITY} * r.window))")).alias("r")).select("_id", "r.*")
+    return rows.groupBy("_id", "item_id").agg(F.max("matched").alias("matched"), F.max("window").alias("window"), F.min("at").alias("at")).withColumnRenamed("_id", key)
 
 
 def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
