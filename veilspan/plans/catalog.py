@@ -266,7 +266,7 @@ _LEVELS = "case when {s} = 'DENIED' then 0 when {s} = 'HELD' then 10 else 21 + c
 
 
 @_query("policy_simulation", f"""{with_('profiles', 'rules', 'requests')}, {_DECIDED}, a as (select request_id, state, treatment, profile_id, case when profile_id in (select profile_id from profiles) then profile_id end as k0 from e),
- b as (select request_id, case when request_id % 6 = 0 then 'DENIED' when request_id % 6 = 1 then 'SELECTED' else state end as s1, case when request_id % 6 = 0 then 'BLOCK' when request_id % 6 = 1 then 'MASK' else treatment end as t1, case when request_id % 6 = 2 then concat(k0, '-new') else k0 end as k1 from a),
+ b as (select request_id, case when request_id % 6 = 0 then 'DENIED' when request_id % 6 = 1 then 'SELECTED' else state end as s1, case when request_id % 6 = 0 then 'BLOCK' when request_id % 6 = 1 then 'MASK' else treatment end as t1, case when request_id % 6 = 2 then k0 || '-new' else k0 end as k1 from a),
  c as (select a.request_id, k0, k1, {_LEVELS.format(s='state', t='treatment')} as l0, {_LEVELS.format(s='s1', t='t1')} as l1 from a join b using (request_id))
  select request_id, case when k0 is null and k1 is null then 'UNAVAILABLE' when l1 > l0 then 'NEW_EXPOSURE' when l1 < l0 then 'NARROWED' when k1 is not null and k0 is distinct from k1 then 'SINK_REBOUND' else 'UNCHANGED' end as kind, l0::bigint as level_before, l1::bigint as level_after from c""")
 def policy_simulation(spark: SparkSession, folder: str) -> DataFrame:
