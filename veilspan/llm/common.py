@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,12 @@ def written(df: DataFrame, codec: str = "zstd", **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files of steps that are over: they go with the driver's objects, which may stay for long in a large heap."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold(doc_id: str, folds: int) -> F.Column:
     """crc32 of the id as text modulo ``folds``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string")) % F.lit(folds)
@@ -54,7 +61,7 @@ def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Smallest reachable id of every node in ``edges(a, b)``, as (node, component).
+    """Smallest reachable id of every node in ``edges(a, b)`` that reaches a smaller one, as (node, component).
 
     Alternating large-star and small-star steps: each is a distributed min-aggregation, hot nodes are
     pre-aggregated before the shuffle, and the number of steps grows with the logarithm of the longest chain.

@@ -10,11 +10,12 @@ smaller position in my run", which needs no shared memory:
 1. Anchors.  The window at a position belongs to the least ``GRAM``-byte hash in it (leftmost of equals), the same in every
    copy.  Consecutive windows of one anchor form a stretch; stretches of equal content are one class.  A stretch that is not
    the first of its class is removed whole.
-2. Only first stretches of anchors that have several different stretches are asked about window by window.
+2. Only first stretches of anchors that have several different stretches are asked about window by window: the bytes of such
+   stretches meet by anchor, and their windows are put in order there.
 
 Both levels first settle, in each map task, everything but the task's own first position of a class, so a string that a third
 of all documents share sends at most one row for each task.  An anchor with very many different stretches is not gathered:
-its stretches go on to the second level at once.
+its windows go on by their own fingerprints.  Rows travel packed in column blocks, in text order, one for each task and bucket.
 
 Defined cases: a null text is empty; texts under ``LENGTH`` bytes lose nothing; of rows with one id, those with different
 texts are ordered by a hash of their text and those with equal texts count as one document; null ids come before all others;
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +38,14 @@ from . import common
 #: Bytes of a repeated string, bytes of an anchor's gram, windows of a segment, text bytes of a task settled together,
 #: and different stretches of an anchor in a task above which they are not gathered.
 LENGTH, GRAM, SEGMENT, CHUNK, HOT = 100, 24, 1 << 20, 48 << 20, 16
-ASK, REQUEST, DONE, MARK = 0, 1, 2, 3
-SCHEMA = "kind int, key long, cls long, doc long, row long, start long, n int"
-NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+#: Stands for a null id: before all others.
+NO_ID = -(2**63)
+#: The same for all tasks together.
+HOT_IN_ALL = 4096
+ASK, REQUEST, DONE, MARK, HOT_REQUEST = 0, 1, 2, 3, 4
+SCHEMA = "kind int, key long, doc long, row long, start long, n int"
+BLOCKS = "bucket int, block binary"
+TYPES = np.int32, np.int64, np.int64, np.int64, np.int64, np.int64, np.int32
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASES = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _draw = np.random.Generator(np.random.PCG64(20))
@@ -138,18 +145,14 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 
 
 class Rows:
-    """Columns of SCHEMA."""
+    """Columns kind, key, cls, doc, row, start, n."""
 
     def __init__(self, *columns: np.ndarray) -> None:
         self.columns = columns
 
-    @classmethod
-    def read(cls, batch: pa.RecordBatch) -> Rows:
-        return cls(*(batch.column(c).to_numpy(zero_copy_only=False) for c in NAMES))
-
     @classmethod
     def joined(cls, parts: list[Rows]) -> Rows:
-        return cls(*(np.concatenate(x) for x in zip(*(p.columns for p in parts), strict=True)))
+        return cls(*(np.concatenate(x) for x in zip(*(p.columns for p in parts), strict=True))) if parts else cls(*(np.zeros(0, t) for t in TYPES))
 
     def __len__(self) -> int:
         return len(self.columns[0])
@@ -164,9 +167,66 @@ class Rows:
     def marked(self, kind: int) -> Rows:
         return Rows(np.full(len(self), kind, np.int32), *self.columns[1:])
 
-    def batch(self) -> pa.RecordBatch:
-        types = pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()
-        return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(self.columns, types, strict=True)], names=NAMES)
+    def plain(self) -> pa.RecordBatch:
+        """SCHEMA: without the class."""
+        kind, key, _, doc, row, start, n = self.columns
+        types = pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()
+        return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip((kind, key, doc, row, start, n), types, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    def block(self, tail: bytes = b"") -> bytes:
+        """Keys as they are, classes by half, the rest as differences in text order under zstd, then ``tail``."""
+        kind, key, cls, doc, row, start, n = self.columns
+        rest = np.diff(doc, prepend=0).tobytes() + row.tobytes() + np.diff(start, prepend=0).tobytes() + n.astype(np.int32).tobytes() + kind.astype(np.int32).tobytes()
+        packed = zstandard.compress(rest + tail, 3)
+        return len(self).to_bytes(4, "little") + key.tobytes() + (cls.view(np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() + packed
+
+    @classmethod
+    def unblock(cls, raw: bytes) -> tuple[Rows, bytes]:
+        k = int.from_bytes(raw[:4], "little")
+        key, half = np.frombuffer(raw, np.int64, k, 4), np.frombuffer(raw, np.uint32, k, 4 + 8 * k)
+        rest = zstandard.decompress(raw[4 + 12 * k :])
+        doc, row, start = (np.frombuffer(rest, np.int64, k, 8 * k * i) for i in range(3))
+        n, kind = (np.frombuffer(rest, np.int32, k, 24 * k + 4 * k * i) for i in range(2))
+        return cls(kind, key, half.astype(np.int64), np.cumsum(doc), row, np.cumsum(start), n), rest[32 * k :]
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (_mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _blocks(rows: Rows, buckets: int) -> Iterator[pa.RecordBatch]:
+    """BLOCKS of rows by the bucket of their key, each in text order."""
+    where = _bucket(rows.columns[1], buckets)
+    _, _, _, doc, row, start, _ = rows.columns
+    order = np.lexsort((start, row, doc, where))
+    rows, where = rows.take(order), where[order]
+    cuts = np.append(np.flatnonzero(_runs(where)), len(where))
+    parts = [(int(where[a]), rows.take(np.arange(a, b)).block()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    yield from _batches(parts)
+
+
+def _batches(parts: list[tuple[int, bytes]], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[int, bytes]] = []
+    for part in [*parts, None]:
+        if held and (part is None or sum(len(x[1]) for x in held[-256:]) > most or len(held) >= 2048):
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int32()), pa.array([x[1] for x in held], pa.binary())], names=["bucket", "block"])
+            held = []
+        if part is not None:
+            held.append(part)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The blocks of each bucket, from batches sorted by bucket."""
+    now, held = None, []
+    for batch in batches:
+        for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), strict=True):
+            if bucket != now and held:
+                yield held
+                held = []
+            now = bucket
+            held.append(block)
+    if held:
+        yield held
 
 
 def settle(rows: Rows, mixed: bool) -> list[Rows]:
@@ -175,9 +235,12 @@ def settle(rows: Rows, mixed: bool) -> list[Rows]:
     mixed: leave out the asking rows of anchors with more than HOT classes; they are requests at once, and a mark is left.
     """
     rows = rows.ordered()
-    _, key, cls, *_ = rows.columns
+    _, key, cls, doc, row, start, _ = rows.columns
     first = _runs(key, cls)
-    out = [rows.take(~first).marked(DONE)]
+    lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+    # The same place twice is a repeated row, not a later copy.
+    same = (doc == doc[lead]) & (row == row[lead]) & (start == start[lead])
+    out = [rows.take(~same).marked(DONE)]
     rows = rows.take(first)
     if mixed:
         key = rows.columns[1]
@@ -185,28 +248,12 @@ def settle(rows: Rows, mixed: bool) -> list[Rows]:
         group = np.cumsum(new) - 1
         hot = (np.bincount(group) > HOT)[group] if len(rows) else np.zeros(0, bool)
         if hot.any():
-            out += [rows.take(hot).marked(REQUEST), rows.take(hot & new).marked(MARK)]
+            out += [rows.take(hot).marked(HOT_REQUEST), rows.take(hot & new).marked(MARK)]
             rows = rows.take(~hot)
     return [*out, rows]
 
 
-def _sorted_chunks(batches: Iterator[pa.RecordBatch], least: int = 400_000) -> Iterator[Rows]:
-    """Rows in pieces that hold their keys whole, from batches sorted by key."""
-    held: list[Rows] = []
-    for batch in batches:
-        held.append(Rows.read(batch))
-        if sum(map(len, held)) < least:
-            continue
-        rows = Rows.joined(held)
-        last = int(np.flatnonzero(_runs(rows.columns[1]))[-1])
-        if last:
-            yield rows.take(np.arange(last))
-        held = [rows.take(np.arange(last, len(rows)))]
-    if held:
-        yield Rows.joined(held)
-
-
-def first_level(docs: DataFrame) -> DataFrame:
+def first_level(docs: DataFrame, buckets: int) -> DataFrame:
     """Requests and finished stretches (SCHEMA) of ``docs(doc, row, text)``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,90 +282,132 @@ def first_level(docs: DataFrame) -> DataFrame:
                         todo.append((k, at, part))
                         filled += len(part)
             if size >= CHUNK:
-                yield from (r.batch() for r in settle(Rows.joined(held), True) if len(r))
+                yield from _blocks(Rows.joined(settle(Rows.joined(held), True)), buckets)
                 held, size = [], 0
         if held:
-            yield from (r.batch() for r in settle(Rows.joined(held), True) if len(r))
+            yield from _blocks(Rows.joined(settle(Rows.joined(held), True)), buckets)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _sorted_chunks(batches):
+        for blocks in _buckets(batches):
+            rows = Rows.joined([Rows.unblock(b)[0] for b in blocks])
             kind = rows.columns[0]
-            through = (kind == REQUEST) | (kind == DONE)
-            yield rows.take(through).batch()
+            yield rows.take((kind == HOT_REQUEST) | (kind == DONE)).plain()
             marks = np.unique(rows.columns[1][kind == MARK])
             done, firsts = settle(rows.take(kind == ASK), False)
-            yield done.batch()
+            yield done.plain()
             key = firsts.columns[1]
             group = np.cumsum(_runs(key)) - 1
-            several = (np.bincount(group) > 1)[group] if len(key) else np.zeros(0, bool)
-            yield firsts.take(several | np.isin(key, marks)).marked(REQUEST).batch()
+            many = np.bincount(group)[group] if len(key) else np.zeros(0, np.int64)
+            hot = np.isin(key, marks) | (many > HOT_IN_ALL)
+            yield firsts.take(hot).marked(HOT_REQUEST).plain()
+            yield firsts.take(~hot & (many > 1)).marked(REQUEST).plain()
+
+    return docs.mapInArrow(cut, BLOCKS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(decide, SCHEMA)
+
 
-    asked = docs.mapInArrow(cut, SCHEMA)
-    # What is decided goes anywhere; what asks goes by its key.
-    spread = F.when(F.col("kind").isin(REQUEST, DONE), F.xxhash64("doc", "start")).otherwise(F.col("key"))
-    return asked.withColumn("_to", spread).repartition("_to").sortWithinPartitions("key").drop("_to").mapInArrow(decide, SCHEMA).drop("key", "cls")
+def _windows(raw: np.ndarray, at: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> Rows:
+    """Rows of the windows that begin at ``at`` in ``raw``."""
+    one, two = Prefix(raw, 0).of(at, at + LENGTH), Prefix(raw, 1).of(at, at + LENGTH)
+    k = len(at)
+    return Rows(np.zeros(k, np.int32), one.view(np.int64), two.view(np.int64), doc, row, start, np.ones(k, np.int32))
 
 
-def second_level(asked: DataFrame) -> DataFrame:
+def _each(n: np.ndarray) -> np.ndarray:
+    """0 .. n-1 for every n."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def second_level(asked: DataFrame, buckets: int) -> DataFrame:
     """Finished windows (doc, row, start, n) of ``asked(doc, row, text, spans)``: spans are the stretches in question."""
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Rows] = []
-        for batch in batches:
+    def cold(held: list[tuple[np.ndarray, ...]], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """Stretches by the bucket of their anchor, their bytes with them."""
+        key, doc, row, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        where = _bucket(key, buckets)
+        order = np.argsort(where, kind="stable")
+        cuts = np.append(np.flatnonzero(_runs(where[order])), len(order))
+        parts = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = order[a:b]
+            rows = Rows(np.full(len(own), REQUEST, np.int32), key[own], key[own], doc[own], row[own], start[own], n[own].astype(np.int32))
+            parts.append((int(where[own[0]]), rows.block(b"".join(texts[i] for i in own.tolist()))))
+        yield from _batches(parts)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretched, texts, hot, size = [], [], [], 0
+        for batch in [*batches, None]:
+            if batch is None or size > 24 << 20 or sum(map(len, hot)) > 1_500_000:
+                if stretched:
+                    yield from cold(stretched, texts)
+                if hot:
+                    yield from _blocks(Rows.joined([x for x in settle(Rows.joined(hot), False)]), buckets)
+                stretched, texts, hot, size = [], [], [], 0
+            if batch is None:
+                return
             for doc, row, text, spans in zip(*(batch.column(c) for c in ("doc", "row", "text", "spans")), strict=True):
-                raw = np.frombuffer(text.as_py().encode(), np.uint8)
-                begin, n = (spans.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n"))
-                at = np.unique(np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                # Only the stretch of the text that is asked about is hashed, in segments.
-                seg = at // SEGMENT
-                for s in np.unique(seg).tolist():
-                    own = at[seg == s]
-                    a, b = int(own[0]), int(own[-1]) + LENGTH
-                    one, two = Prefix(raw[a:b], 0).of(own - a, own - a + LENGTH), Prefix(raw[a:b], 1).of(own - a, own - a + LENGTH)
-                    k = len(own)
-                    held.append(Rows(np.zeros(k, np.int32), one.view(np.int64), two.view(np.int64), np.full(k, doc.as_py()), np.full(k, row.as_py()), own, np.ones(k, np.int32)))
-            if sum(map(len, held)) > 1_500_000:
-                yield from (r.batch() for r in settle(Rows.joined(held), False) if len(r))
-                held = []
-        if held:
-            yield from (r.batch() for r in settle(Rows.joined(held), False) if len(r))
+                raw = text.as_py().encode()
+                start, n, key, kind = (spans.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "key", "kind"))
+                size += len(raw)
+                c = np.flatnonzero(kind == REQUEST)
+                stretched.append((key[c], np.full(len(c), doc.as_py()), np.full(len(c), row.as_py()), start[c], n[c]))
+                texts += [raw[a : a + k + LENGTH - 1] for a, k in zip(start[c].tolist(), n[c].tolist(), strict=True)]
+                c = np.flatnonzero(kind == HOT_REQUEST)
+                for a, k in zip(start[c].tolist(), n[c].tolist(), strict=True):
+                    own = np.frombuffer(raw[a : a + k + LENGTH - 1], np.uint8)
+                    at = np.arange(k)
+                    hot.append(_windows(own, at, np.full(k, doc.as_py()), np.full(k, row.as_py()), a + at))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _sorted_chunks(batches):
-            ask = rows.columns[0] == ASK
-            done = Rows.joined([rows.take(~ask), settle(rows.take(ask), False)[0]]).columns
+        for blocks in _buckets(batches):
+            asks, done = [], []
+            for block in blocks:
+                rows, tail = Rows.unblock(block)
+                kind, _, _, doc, row, start, n = rows.columns
+                if not (kind == REQUEST).any():
+                    done.append(rows.take(kind == DONE))
+                    asks.append(rows.take(kind == ASK))
+                    continue
+                n = n.astype(np.int64)
+                size = n + LENGTH - 1
+                at = np.repeat(np.cumsum(size) - size, n) + _each(n)
+                w = _windows(np.frombuffer(tail, np.uint8), at, np.repeat(doc, n), np.repeat(row, n), np.repeat(start, n) + _each(n))
+                asks.append(Rows(*w.columns[:2], w.columns[2].view(np.uint64).__rshift__(np.uint64(32)).astype(np.int64), *w.columns[3:]))
+            gone = Rows.joined([*done, settle(Rows.joined(asks), False)[0]]).columns
             # Neighbouring windows become one stretch again.
-            order = np.lexsort((done[5], done[4], done[3]))
-            doc, row, start = done[3][order], done[4][order], done[5][order]
+            order = np.lexsort((gone[5], gone[4], gone[3]))
+            doc, row, start = gone[3][order], gone[4][order], gone[5][order]
             if len(doc):
-                new = _runs(doc, row) | np.append(True, start[1:] != start[:-1] + 1)
+                new = _runs(doc, row) | np.append(True, start[1:] > start[:-1] + 1)
                 first = np.flatnonzero(new)
-                n = np.diff(np.append(first, len(doc)))
-                yield Rows(np.full(len(first), DONE, np.int32), start[first], start[first], doc[first], row[first], start[first], n.astype(np.int32)).batch()
+                last = np.append(first[1:], len(doc)) - 1
+                n = (start[last] - start[first] + 1).astype(np.int32)
+                yield Rows(np.full(len(first), DONE, np.int32), start[first], start[first], doc[first], row[first], start[first], n).plain()
 
-    spread = F.when(F.col("kind") == DONE, F.xxhash64("doc", F.expr("start div 4096"))).otherwise(F.col("key"))
-    return asked.mapInArrow(windows, SCHEMA).withColumn("_to", spread).repartition("_to").sortWithinPartitions("key").drop("_to").mapInArrow(decide, SCHEMA).select("doc", "row", "start", "n")
+    return asked.mapInArrow(gather, BLOCKS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(decide, SCHEMA).select("doc", "row", "start", "n")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` with ``doc`` and ``row``: row tells apart different texts of one id, and is 0 where an id is alone."""
     again = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc")
     if again.isEmpty():
-        return docs.select("doc_id", doc, F.lit(0).cast("long").alias("row"), text)
+        return docs.select(doc, F.lit(0).cast("long").alias("row"), text)
     many = common.written(again.withColumn("_again", F.lit(True)))
-    return docs.join(many, docs.doc_id.eqNullSafe(many._id), "left").select("doc_id", doc, F.when(F.col("_again"), F.xxhash64(text)).otherwise(F.lit(0)).alias("row"), text)
+    return docs.join(many, docs.doc_id.eqNullSafe(many._id), "left").select(doc, F.when(F.col("_again"), F.xxhash64(text)).otherwise(F.lit(0)).alias("row"), text)
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row of ``docs(doc_id, text)``."""
-    common.small_batches(docs.sparkSession)
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs(doc_id, text)``."""
+    spark = docs.sparkSession
+    common.small_batches(spark)
     rows = numbered(docs.select("doc_id", "text"))
-    level = common.written(first_level(rows.select("doc", "row", "text").where(F.octet_length("text") >= LENGTH)))
-    dealt = rows.repartition("doc", "row")  # used by both joins, moved once
-    asked = level.where(F.col("kind") == REQUEST).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    late = second_level(dealt.join(asked, ["doc", "row"]).select("doc", "row", "text", "spans"))
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    level = common.written(first_level(rows.where(F.octet_length("text") >= LENGTH), buckets))
+    common.release(spark)
+    dealt = rows.repartition("doc", "row")  # both joins read it with the same columns: it is moved once
+    asked = level.where(F.col("kind").isin(REQUEST, HOT_REQUEST)).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n", "key", "kind")).alias("spans"))
+    late = second_level(dealt.join(asked, ["doc", "row"]).select("doc", "row", "text", "spans"), buckets)
     done = level.where(F.col("kind") == DONE).select("doc", "row", "start", "n").union(late)
     gone = done.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
@@ -339,10 +428,11 @@ def removed(docs: DataFrame) -> DataFrame:
                 kept = np.frombuffer(raw, np.uint8)[~lost].tobytes()
                 out.append((n, int(lost.sum()), int(lost[0]) + int((lost[1:] & ~lost[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    whole = dealt.join(gone, ["doc", "row"], "left").select("doc_id", "text", "spans")
-    return whole.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    whole = dealt.join(gone, ["doc", "row"], "left").select("doc", "row", "text", "spans")
+    out = whole.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def op10_substrings(spark, sf_dir: str) -> DataFrame:
