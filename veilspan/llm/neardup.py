@@ -7,10 +7,10 @@ costs log w processes, not w.  Points come in order of time and a process stops
 component.  Each component keeps its first point; two texts agree on it with the probability of their weighted Jaccard
 similarity, sum of minima over sum of maxima.
 
-Texts with the same words are one class.  Classes that share a band meet the band's smallest class (a star, never all
-pairs), pairs are verified on their exact multisets, and links are closed to components.  Then members of one band that are
-still in different components are compared with each other, so that no link between different texts is lost; what a band
-has left to compare is small, since its links were mostly found by the star.
+Texts with the same words are one class.  Classes that share a band meet the band's most central class (a star, never all
+pairs), pairs are verified on their exact multisets, and links are closed to components.  Members of one band that are then
+still in different components are compared with each other in blocks inside a task, which returns links between components
+and never the pairs: no link between different texts is lost.
 
 Defined cases: a null text is empty; texts without words form one class; a text of under five words has one shingle, all its
 words; repeated rows are copies; a null id is a copy like any other and never names a group that has ids; empty tables give
@@ -34,6 +34,8 @@ from . import common
 #: Words of a shingle, the similarity from which texts are near-duplicates, bands and rows of a band (a pair at 0.8
 #: shares no band with probability 3e-6).
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 5
+#: Most rows and characters of a block of a band's members that are compared with each other.
+BLOCK_ROWS, BLOCK_BYTES = 768, 4 << 20
 _SPACE = r"[^\pL\pN]+"
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,12 +134,17 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, row long, class binary, bands array<long>")
 
 
+def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(class, text) of some classes, each from the row that stands for it."""
+    wanted = common.written(nodes.join(classes.select("class", "row"), "class"))
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return common.written(texts.join(wanted, "row").select("class", "text").dropDuplicates(["class"]))
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of classes whose multisets are at least ``least`` similar."""
-    nodes = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = common.written(nodes.join(classes.select("class", "row"), "class"))
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text")).join(wanted, "row").select("class", "text").dropDuplicates(["class"])
-    texts = common.written(texts)
+    pairs = common.written(pairs)
+    texts = _texts(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct(), classes, docs)
     met = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,30 +164,74 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: float
     return common.written(met.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary"))
 
 
+def leftover(members: DataFrame, named: DataFrame, classes: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between components, among the members of one band that have only met the band's head.
+
+    Bands that hold one component are done.  The members of the others are dealt to blocks bounded in rows and bytes, and
+    every two blocks of a band meet in one task, which returns at most one link for each two components it joins."""
+    rows = members.join(named.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    mixed = rows.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band")
+    rows = common.written(rows.join(mixed, "band"))
+    texts = _texts(rows.select("class").distinct(), classes, docs)
+    sized = rows.join(texts.select("class", F.length("text").alias("size")), "class")
+    parts = sized.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_BYTES)).cast("int").alias("parts"))
+    dealt = rows.join(parts, "band").withColumn("own", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    work = dealt.select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "class", "component").join(texts, "class")
+
+    def compare(f: pd.DataFrame) -> pd.DataFrame:
+        n = len(f)
+        doc, s, w = shingles(normal(pa.array(f.text)))
+        # A shingle of weight w is w units, so that a product of two rows is the sum of minima.
+        unit = np.repeat(s, w) + (np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)).astype(np.uint64) * _C
+        owner = np.repeat(doc, w)
+        total = np.bincount(owner, minlength=n)
+        _, column, count = np.unique(unit, return_inverse=True, return_counts=True)
+        keep = count[column] > 1
+        column, owner = np.unique(column[keep], return_inverse=True)[1], owner[keep]
+        both = np.zeros((n, n), np.float32)
+        width = int(column.max()) + 1 if len(column) else 0
+        for at in range(0, width, 4096):  # in strips, so that memory is bounded
+            own = (column >= at) & (column < at + 4096)
+            strip = np.zeros((n, min(4096, width - at)), np.float32)
+            strip[owner[own], column[own] - at] = 1
+            both += strip @ strip.T
+        near = both >= least * (total[:, None] + total - both) - 1e-3
+        near[total == 0] = False
+        kind, own = f.component.to_numpy(), f.own.to_numpy()
+        root = {c: c for c in kind}
+
+        def top(c):
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+            if (f.p.iat[0] == f.q.iat[0] or own[i] != own[j]) and top(kind[i]) != top(kind[j]):
+                root[top(kind[i])] = top(kind[j])
+                out.append((f["class"].iat[i], f["class"].iat[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return common.written(work.groupBy("band", "p", "q").applyInPandas(compare, "a binary, b binary"))
+
+
 def groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, row, class, group_id, group) of every row: group_id is the smallest id of its group."""
     rows = common.written(signed(docs))
     classes = common.written(rows.groupBy("class").agg(F.min("row").alias("row"), F.min("doc_id").alias("low"), F.first("bands").alias("bands")))
     banded = classes.select("class", F.explode("bands").alias("band"))
-    shared = common.written(
-        banded.join(banded.groupBy("band").agg(F.min("class").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head"), "band")
-    )
-    star = common.written(shared.where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b")).distinct())
-    links = verified(star, classes, docs, least)
+    shared = common.written(banded.join(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"))
+    # A class is the more central, the larger its bands are: copies differ from each other more than from their source.
+    central = shared.groupBy("class").agg(F.sum("n").alias("weight"))
+    shared = common.written(shared.select("class", "band").join(central, "class"))
+    heads = shared.groupBy("band").agg(F.max(F.struct("weight", "class"))["class"].alias("head"))
+    headed = common.written(shared.join(heads, "band").where("class <> head").select("band", "class", "head"))
+    links = verified(headed.select(F.col("class").alias("a"), F.col("head").alias("b")).distinct(), classes, docs, least)
     named = common.components(links)
-    # What a band still holds in different components, in pairs that were not compared yet.
-    left = shared.select("band", "class").join(named.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = left.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band")
-    left = common.written(left.join(mixed, "band"))
-    more = (
-        left.alias("x").join(left.alias("y"), "band").where("x.class > y.class and x.component <> y.component")
-        .select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    )
-    more = common.written(more)
-    if not more.isEmpty():
-        late = verified(more, classes, docs, least)
-        if not late.isEmpty():
-            named = common.components(links.union(late))
+    late = leftover(headed.select("band", "class"), named, classes, docs, least)
+    if not late.isEmpty():
+        named = common.components(links.union(late))
     member = classes.select("class", "low").join(named.withColumnRenamed("node", "class"), "class", "left").withColumn("group", F.coalesce("component", "class"))
     member = common.written(member.select("class", "low", "group"))
     lows = member.groupBy("group").agg(F.min("low").alias("group_id"))
