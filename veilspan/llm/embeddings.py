@@ -24,58 +24,70 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Threshold, most vectors in a block, most pivots of a label and of all labels together, and rows of a tree's leaf.
-COSINE, BLOCK, MOST_PIVOTS, ALL_PIVOTS, LEAF = 0.98, 2048, 32, 8192, 48
+COSINE, BLOCK, MOST_PIVOTS, ALL_PIVOTS, LEAF = 0.98, 4096, 32, 8192, 48
+
+
+def net(x: np.ndarray, rows: np.ndarray, head: int, level: float, chunk: int = 256) -> list[tuple[int, np.ndarray]]:
+    """(centre, rows) greedily: every row within ``level`` of its centre, centres further apart than that; ``head`` is the first."""
+    least = 1 - level * level / 2  # of unit vectors
+    centers, owner = [head], np.zeros(len(rows), np.int64)
+    for at in range(0, len(rows), chunk):
+        own = rows[at : at + chunk]
+        near = x[own] @ x[centers].T >= least
+        owner[at : at + chunk] = near.argmax(1)
+        open_ = np.flatnonzero(~near.any(1))
+        if len(open_):
+            gram = x[own[open_]] @ x[own[open_]].T >= least
+            free = np.ones(len(open_), bool)
+            for k in range(len(open_)):
+                if free[k]:
+                    now = gram[k] & free
+                    now[k] = True
+                    owner[at + open_[now]] = len(centers)
+                    free &= ~now
+                    centers.append(int(own[open_[k]]))
+    order = np.argsort(owner, kind="stable")
+    cuts = np.searchsorted(owner[order], np.arange(len(centers) + 1))
+    return [(c, rows[order[i:j]]) for c, i, j in zip(centers, cuts[:-1], cuts[1:], strict=True)]
 
 
 class Tree:
     """Cover tree over unit vectors: each node has a centre, the radius that covers its rows, and children of half the level's radius."""
 
-    __slots__ = ("center", "radius", "rows", "children")
+    __slots__ = ("center", "radius", "rows", "children", "centers", "radii")
 
     def __init__(self, x: np.ndarray, rows: np.ndarray, center: int, level: float) -> None:
-        self.center, self.rows = center, rows
-        gap = x[rows] - x[center]
-        dist = np.sqrt((gap * gap).sum(1))
-        self.radius = float(dist.max())
-        self.children: list[Tree] = []
+        self.center, self.rows, self.children, self.radius = center, rows, [], 0.0
+        if len(rows) > 1:
+            gap = x[rows] - x[center]
+            self.radius = float(np.sqrt((gap * gap).sum(1)).max())
         if len(rows) <= LEAF or self.radius == 0:
             return
         while level >= self.radius:
             level /= 2
-        left, head = rows, center  # nested: the first centre of the next level is this one
-        while len(left):
-            gap = x[left] - x[head]
-            near = (gap * gap).sum(1) <= level * level
-            self.children.append(Tree(x, left[near], head, level / 2))
-            left = left[~near]
-            if len(left):
-                head = int(left[0])
+        # Nested: the first centre of the next level is this one.
+        self.children = [Tree(x, own, c, level / 2) for c, own in net(x, rows, center, level)]
+        self.centers = np.array([c.center for c in self.children])
+        self.radii = np.array([c.radius for c in self.children])
 
 
 def near_pairs(a: Tree, b: Tree, x: np.ndarray, y: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (of x, of y) with cosine >= least, by dual traversal."""
-    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
+    """Rows (of x, of y) with cosine >= least, by dual traversal: pairs of nodes whose balls are further apart are pruned."""
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-7
     todo = [(a, b)]
     while todo:
         p, q = todo.pop()
-        gap = x[p.center] - y[q.center]
-        if np.sqrt(gap @ gap) > p.radius + q.radius + reach:
-            continue
         if not p.children and not q.children:
             i, j = np.nonzero(x[p.rows] @ y[q.rows].T >= least)
             if len(i):
                 yield p.rows[i], q.rows[j]
-        elif p.children and (not q.children or p.radius >= q.radius):
-            todo += _close(p.children, q, x, y, reach, False)
-        else:
-            todo += _close(q.children, p, y, x, reach, True)
-
-
-def _close(nodes: list[Tree], other: Tree, x: np.ndarray, y: np.ndarray, reach: float, turned: bool) -> list:
-    """Pairs of children and the other node whose balls come within reach."""
-    gap = x[[n.center for n in nodes]] - y[other.center]
-    near = np.sqrt((gap * gap).sum(1)) <= np.array([n.radius for n in nodes]) + other.radius + reach
-    return [(other, n) if turned else (n, other) for n, k in zip(nodes, near, strict=True) if k]
+            continue
+        left, lc, lr = (p.children, p.centers, p.radii) if p.children else ([p], np.array([p.center]), np.array([p.radius]))
+        right, rc, rr = (q.children, q.centers, q.radii) if q.children else ([q], np.array([q.center]), np.array([q.radius]))
+        for at in range(0, len(left), 512):
+            apart = np.maximum(0, 2 - 2 * (x[lc[at : at + 512]] @ y[rc].T))
+            i, j = np.nonzero(apart <= (lr[at : at + 512, None] + rr + reach) ** 2)
+            todo += [(left[at + k], right[m]) for k, m in zip(i.tolist(), j.tolist(), strict=True)]
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -111,11 +123,12 @@ def linked(vectors: DataFrame, least: float = COSINE, block: int = BLOCK) -> Dat
     sizes = classes.groupBy("label").agg(F.count("*").alias("size"))
     # Pivots of labels that need more than one block: bounded in number for each label and in all.
     many = sizes.where(F.col("size") > block)
-    share = F.least(F.lit(1.0), F.lit(2.0 * MOST_PIVOTS) / F.col("size"))
-    picked = classes.join(many, "label").where(F.pmod(F.xxhash64("class"), F.lit(1_000_003)) < share * 1_000_003).select("label", "embedding").limit(ALL_PIVOTS).collect()
+    share = F.least(F.lit(1.0), F.least(F.lit(4.0 * MOST_PIVOTS), 8.0 * F.ceil(F.col("size") / block)) / F.col("size"))
+    picked = classes.join(many, "label").where(F.pmod(F.xxhash64("class"), F.lit(1_000_003)) < share * 1_000_003).select("label", "embedding", F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("size") / block)).alias("k")).limit(ALL_PIVOTS).collect()
     pivots: dict[str, np.ndarray] = {}
     for label in sorted({r.label for r in picked}):
-        own = sorted(tuple(r.embedding) for r in picked if r.label == label)[:MOST_PIVOTS]
+        own = sorted((tuple(r.embedding), r.k) for r in picked if r.label == label)
+        own = [e for e, k in own[: own[0][1]]]
         pivots[label] = _unit(pd.Series(own))
     shared = spark.sparkContext.broadcast(pivots)
 
