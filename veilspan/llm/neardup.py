@@ -36,6 +36,8 @@ from . import common
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 5
 #: Most rows and characters of a block of a band's members that are compared with each other.
 BLOCK_ROWS, BLOCK_BYTES = 768, 4 << 20
+#: Most classes (24 bytes each) that are broadcast to pick their texts.
+MOST_BROADCAST = 1_000_000
 _SPACE = r"[^\pL\pN]+"
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -137,6 +139,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(class, text) of some classes, each from the row that stands for it."""
     wanted = common.written(nodes.join(classes.select("class", "row"), "class"))
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted  # else texts are moved to meet them
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return common.written(texts.join(wanted, "row").select("class", "text").dropDuplicates(["class"]))
 
