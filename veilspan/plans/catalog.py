@@ -105,7 +105,7 @@ def finding_status(spark: SparkSession, folder: str) -> DataFrame:
 
 _WORDS = r"""select doc_id, cast(k * 37 % 400 as int) as start, cast(k * 37 % 400 + 3 + k * doc_id % 29 as int) as "end", case when k % 3 = 0 then 'PERSON' else 'HOST_OR_SERVICE' end as semantic_type,
   case when k % 4 = 0 then null else case when k % 3 = 0 then 'EMAIL' else 'NAME' end end as subtype, case when k % 5 = 0 then null else case k % 3 when 0 then 'INTERNAL' when 1 then 'CONFIDENTIAL' else 'SECRET' end end as sensitivity,
-  k % 2 = 0 as reversible, concat('r', cast(k as varchar(10))) as rule from documents cross join (select n_nationkey + 1 as k from nation) t where doc_id % 3 = 0"""
+  k % 2 = 0 as reversible, concat('r', cast(k as varchar(10))) as rule from documents cross join (select n_nationkey + 1 as k from nation) t"""
 _REGIONS = f"""w as ({_WORDS}), o as (select *, max("end") over (partition by doc_id order by start, "end" desc, rule rows between unbounded preceding and 1 preceding) as reach from w),
   g as (select *, sum(case when reach is null or start >= reach then 1 else 0 end) over (partition by doc_id order by start, "end" desc, rule rows unbounded preceding) - 1 as region from o)"""
 

@@ -38,7 +38,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "predicates": (("events",), f"""
         select distinct event_id % 900 as request_id, {_pick('event_id % 11', 'KIND', 'EXISTENCE', 'SYNTAX', 'RELATIONSHIP', 'EXACT_VALUE', 'VALUE_SHAPE', 'CONSISTENCY', 'GENERALIZED', 'NOT_REQUIRED', 'KIND', 'SYNTAX')} as predicate,
           {_pick('event_id % 900', 'PUBLIC', 'SECRET', 'CONFIDENTIAL', 'UNKNOWN')} as sensitivity
-        from events where event_id % 5 < 2"""),
+        from events"""),
     "profiles": (("nation",), f"""
         select concat('p-', cast(n_nationkey as varchar(10))) as profile_id, case when n_nationkey % 2 = 0 then 'EXTERNAL' else 'LOCAL' end as exposure,
           {_pick('n_nationkey', 'KEEP,MASK,REMOVE', 'KEEP,MASK,TOKENIZE,REMOVE,GENERALIZE', 'MASK,REMOVE')} as permitted, {_pick('n_nationkey', 'INTERNAL', 'RESTRICTED', 'PUBLIC')} as max_cleartext
@@ -85,7 +85,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "negatives": (("documents",), """
         select doc_id % 200 as case_id, 'body' as field_ref, cast(n_chars % 80 as bigint) as start, cast(n_chars % 80 + 5 as bigint) as "end", 'PERSON' as not_a from documents where doc_id % 9 = 4"""),
     "releases": (("documents",), """
-        select doc_id % 200 as case_id, concat('sink-', cast(doc_id % 2 as varchar(5))) as sink_id, text as body from documents where doc_id % 3 <> 1"""),
+        select doc_id % 200 as case_id, concat('sink-', cast(doc_id % 2 as varchar(5))) as sink_id, text as body from documents"""),
     "reid": (("customer",), """
         select c_custkey as record_id, concat('s-', cast(c_custkey % 97 as varchar(10))) as site_ref, cast(c_nationkey as varchar(10)) as country, c_mktsegment as segment, cast(c_custkey % 6 as varchar(10)) as band,
           case when c_custkey % 5 = 0 then 'REIDENTIFIABLE' else 'SAFE' end as label,
