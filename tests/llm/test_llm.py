@@ -1,5 +1,6 @@
 """Training-data operators against brute force, and on odd rows."""
 
+import base64
 import hashlib
 import re
 import zlib
@@ -62,6 +63,22 @@ def test_secrets_match_brute_force(spark):
     assert not brute_spans(clean[1]) and clean[8] == texts[8] and clean[900] == ""
 
 
+def test_private_keys_go_with_their_bodies(spark):
+    body = base64.b64encode(np.random.default_rng(5).bytes(1200)).decode()
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    wrapped = {w: "\n".join(body[i : i + w] for i in range(0, len(body), w)) for w in (48, 64, 70, 76)}
+    fields = "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB12\n"
+    cases = {f"{begin}\n{x}\n{end}": "" for x in wrapped.values()} | {f"{begin}\n{x}": "\nand prose" for x in wrapped.values()}
+    cases |= {f"{begin}{fields}\n{wrapped[64]}\n{end}": "", f"{begin}{fields}\n{wrapped[64]}": "\nand prose", f"{begin}\n{wrapped[64]}\nAb3d": "\nand prose", f"{begin}{body}": " and prose"}
+    cases |= {f"{begin}\n{wrapped[64]}\n{end}".replace("\n", "\\n"): "", f"{begin}\\n{wrapped[64]}".replace("\n", "\\n"): '"}', f"{begin}\n{wrapped[64]}\n{end}".replace("\n", "\r\n"): ""}
+    cases |= {begin: " is how a key begins, and this is prose", f"{begin}" + ("\n" + "A" * 64) * 20_000: "\n.", f"{begin}\n" + "\n".join(["A" * 50] * 390): "\n."}
+    rows = [(k, f"before {key}{rest} after.") for k, (key, rest) in enumerate(cases.items())]
+    got = {r.doc_id: r.text for r in secrets.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: f"before [SECRET]{rest} after." for k, rest in enumerate(cases.values())}
+    rows = [(f"one {begin} two\n\n{begin}\n{wrapped[64]}\n{end}",)]
+    assert secrets.redacted(spark.createDataFrame(rows, "text string")).first().text == "one [SECRET] two\n\n[SECRET]"
+
+
 # ---- tokens and packing
 
 def test_ids_equal_the_library():

@@ -41,6 +41,15 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]{16,}"),  # a maximal run of 16 or more is a run that has 16
 )
+#: A key block with its body: to the END line, or where that is missing over header fields and base64 lines.  Loops over lines
+#: of any width are bounded (50 times 8 lines) since Java's regular expressions recurse on them; those of 64, 70 and 76 are not.
+_B64, _MARK = "[A-Za-z0-9+/=]", "[A-Z ]{0,40}PRIVATE KEY-----"
+_LINES = rf"(?:\n{_B64}{{76}})*(?:\n{_B64}{{70}})*(?:\n{_B64}{{64}})*(?:\r\n{_B64}{{64}})*{_B64}*" + rf"(?:[\s\\]+{_B64}{{20,}}){{0,50}}" * 8
+_LAST = r"(?:[\s\\]+[A-Za-z0-9+/]{1,19}={1,2}|\s*\n\s*[A-Za-z0-9+/]{1,19}(?m:$))?"
+PRIVATE_KEY = (
+    rf"-----BEGIN {_MARK}(?:[^-]*(?:-{{1,4}}[^-]+){{0,200}}-----END {_MARK}"
+    rf"|(?:(?:\s+[A-Za-z-]{{1,40}}:[^\n]*){{0,4}}[\s\\]*{_B64}{{20,}}{_LINES}{_LAST})?)"
+)
 #: Further kinds: public credential formats.
 MORE = (
     Rule("source_control", r"gh[pousr]_[A-Za-z0-9]{36,}"),
@@ -49,7 +58,7 @@ MORE = (
     Rule("payment", r"[sr]k_live_[0-9A-Za-z]{16,}"),
     Rule("package", r"npm_[A-Za-z0-9]{36}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("url_password", r"://[^\s:/@?#]{1,128}:[^\s:/@?#]{1,128}@"),
 )
 RULES = BASE + MORE
