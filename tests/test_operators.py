@@ -159,6 +159,17 @@ def test_sentinel(spark):
         (0, "BLOCK", "KNOWN_VALUE_FOUND"), (1, "BLOCK", "KNOWN_VALUE_FOUND"), (2, "BLOCK", "CANARY_FOUND"), (3, "BLOCK", "DESTINATION_MISMATCH"), (4, "BLOCK", "INVALID_INPUT")]
 
 
+def test_sentinel_asks_every_pattern(spark):
+    import base64
+
+    risky = ["Authorization: Bearer abcdefgh1234", "'authorization' = \"basic QWxhZGRpbjpvcGVu\"", "password=hunter22", "api_key: 'some words'", "see https://u:pw4you@h.example/x", "redis://:secret1@cache",
+             base64.b64encode(b"password=hunter22 and more").decode(), "it's \"so\": PASSWORD: \"its4\" token=x", "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1" * 18]
+    fine = ["password: ${SECRET}", "password = config.password", "password: password", "PWD=/srv/app", "token: <your token>", "https://u:${pw}@h/x", "https://h.example:8080/x@y", "it's a \"plain\" text", "secret: null", "api_key='{{ key }}'", "level = x ? 'SECRET' : 'INTERNAL'", "password = a" + ".b" * 20_000]
+    known = spark.createDataFrame([("t", "ORIGINAL", "Project Bluebird", "r1")], "tenant_id string, kind string, value string, ref string")
+    messages = spark.createDataFrame([(k, "t", s, "d", "d") for k, s in enumerate(risky + fine)], "message_id int, tenant_id string, text string, destination string, authorized_destination string")
+    assert rows(sentinel.checked(messages, known, b"k"), "message_id", "decision", "reasons") == [(k, *(("BLOCK", "HIGH_RISK_PATTERN") if k < len(risky) else ("ALLOW", ""))) for k in range(len(risky + fine))]
+
+
 def test_wire(spark):
     bodies = ['{"model":"m","messages":[{"role":"user","content":"hi"}]}', "{", '{"model":"m","messages":[]}', '{"model":"m","messages":[{"role":"tool","content":"x"}]}']
     df = spark.createDataFrame(list(enumerate(bodies)), "request_id int, body string")

@@ -7,9 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hmac_sha256
 from . import normalization
-from .detectors import HIGH_RISK
+from .detectors import ASSIGNMENT, HIGH_RISK
 
 GRAM = 8
+#: A password before the host of a URL, with an empty user name too; a whole placeholder is none.
+URL_PASSWORD = (
+    r"""(?i)[a-z][a-z0-9+.-]{1,31}://[^\s:/@"']{0,256}:"""
+    r"""(?!(?:\$\{[^}]*\}|\{\{[^}]*\}\}|\$[a-z_][a-z0-9_]*|%s|<[\w -]{1,40}>)@)[^\s/@"']{3,256}@"""
+)
+#: Values that stand for something else: references and masks where quoted; names, types and members too where not.
+REFERENCE = r"^(?:\$\{[^}]*\}|\{\{[^}]*\}\}|<[\w -]{1,40}>|\*{3,}|\[hylja:protected:[A-Z0-9_]+\])$"
+NOT_A_VALUE = (
+    r"(?i)^(?:[$<*{\[]|(?:string|number|boolean|bigint|object|any|unknown|undefined|null|none|true|false|nil|str|int|bool|bytes)$"
+    r"|[A-Za-z_$][\w$]*(?:(?:\.|\?\.)[A-Za-z_$][\w$]*|\[[^\]]*\])++$)"
+)
+#: A name that is a whole quoted branch of a condition: ``? 'SECRET' : 'INTERNAL'``.
+BRANCH = r"""(?i)\?\s{0,6}(["'`])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?token|auth[_-]?token)\1"""
 
 
 def compact(text: str | Column) -> Column:
@@ -38,6 +51,29 @@ def matched(messages: DataFrame, known: DataFrame, key: bytes, id_: str = "messa
     return met.select(id_, "ref", "kind", "at").union(short.select(id_, "ref", "kind", F.lit(0))).distinct()
 
 
+def assigned(text: str) -> Column:
+    """Whether a literal value is given to a name of a credential in a column; references, types and echoes of the name are none."""
+    kept = F.regexp_replace(text, BRANCH, "?")
+    key, quoted, bare = (F.regexp_extract_all(kept, F.lit(ASSIGNMENT), F.lit(g)) for g in (1, 3, 4))
+
+    def value(m: Column) -> Column:
+        word = F.regexp_replace(m["bare"], r"[}\]]+$", "")
+        same = F.lower(F.regexp_replace(word, "[_-]", "")) == F.lower(F.regexp_replace(m["key"], "[_-]", ""))
+        folder = (F.lower(m["key"]) == "pwd") & F.concat(m["quoted"], m["bare"]).rlike("^[/~]")
+        literal = F.when(m["bare"] == "", ~m["quoted"].rlike(REFERENCE)).otherwise((F.length(word) >= 4) & ~word.rlike(NOT_A_VALUE) & ~same)
+        return ~folder & literal
+
+    return F.exists(F.arrays_zip(key.alias("key"), quoted.alias("quoted"), bare.alias("bare")), value)
+
+
+def risky(text: str) -> Column:
+    """Whether a column holds any of the high-risk patterns, a password in a URL or a credential assignment."""
+    out = assigned(text)
+    for p in (*HIGH_RISK.values(), URL_PASSWORD):
+        out = out | F.col(text).rlike(p)
+    return out
+
+
 def checked(messages: DataFrame, known: DataFrame, key: bytes, id_: str = "message_id") -> DataFrame:
     """(id, decision, reasons) of ``messages(id, tenant_id, text, destination, authorized_destination)``.
 
@@ -45,7 +81,7 @@ def checked(messages: DataFrame, known: DataFrame, key: bytes, id_: str = "messa
     views = normalization.normalized(messages.select(id_, "text"), id_).join(messages.select(id_, "tenant_id"), id_)
     hits = matched(views.select(F.concat_ws("/", id_, "view").alias("v"), id_, "tenant_id", "text").select(F.col("v").alias("view_id"), "tenant_id", "text"), known, key, "view_id")
     found = hits.select(F.substring_index("view_id", "/", 1).alias("_id"), F.when(F.col("kind") == "CANARY", "CANARY_FOUND").otherwise("KNOWN_VALUE_FOUND").alias("reason"))
-    risk = views.where(" or ".join(f"text rlike r'{p}'" if "'" not in p else f'text rlike r"""{p}"""' for p in HIGH_RISK.values() if '"""' not in p and not ("'" in p and '"' in p)))
+    risk = views.where(risky("text"))
     found = found.union(risk.select(F.col(id_).cast("string"), F.lit("HIGH_RISK_PATTERN"))).union(views.where("status = 'PARTIAL'").select(F.col(id_).cast("string"), F.lit("UNINSPECTED")))
     wrong = messages.where(~F.col("destination").eqNullSafe(F.col("authorized_destination"))).select(F.col(id_).cast("string"), F.lit("DESTINATION_MISMATCH"))
     invalid = messages.where("text is null").select(F.col(id_).cast("string"), F.lit("INVALID_INPUT"))
