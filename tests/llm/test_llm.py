@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +121,23 @@ def test_packing_round_trip(spark):
     assert got[got.doc_id == 0].length.sum() == 2 * got[got.doc_id == 0].doc_tokens.iloc[0] and packing.pack(empty(spark), packing.vocabulary()).count() == 0
 
 
+def test_packing_mixes_sources_without_a_queue_of_their_own(spark):
+    size, few = 64, [("long", prose(4000, 1))]
+    rows = few + [("main", prose(300, k)) for k in range(9)] + [(f"s{j:02}", prose(20 + j, 7 * j + k)) for j in range(12) for k in range(15)] + [(f"one{k:02}", prose(9, k)) for k in range(40)]
+    docs = spark.createDataFrame([(k, t, s) for k, (s, t) in enumerate(rows)], "doc_id long, text string, source string").repartition(3, "source")
+    got = packing.pack(docs, packing.vocabulary(), size=size, most_queues=2).toPandas().merge(pd.DataFrame({"doc_id": range(len(rows)), "source": [s for s, _ in rows]}))
+    windows, whole = got.length.sum() // size, got.groupby("doc_id").length.sum()
+    assert (whole == got.groupby("doc_id").doc_tokens.first()).all() and (got.groupby("sequence_id").length.sum()[:windows] == size).all()
+    assert got[got.source.isin(["long", "main"])].groupby("queue").source.nunique().tolist() == [1, 1] and got.queue.nunique() == 3
+    for source, own in got.groupby("source"):
+        given = own.groupby("sequence_id").length.sum().reindex(range(windows), fill_value=0).cumsum()
+        owed = own.length.sum() * (np.arange(windows) + 1) / windows
+        if not source.startswith("one"):
+            assert np.abs(given - owed).max() <= own.doc_tokens.max() + size, source
+    ones = got[got.source.str.startswith("one")].groupby("source").sequence_id.min()
+    assert all(np.histogram(ones, 4, (0, windows))[0] > 2)
+
+
 # ---- near-duplicates
 
 def bag(text):

@@ -6,7 +6,14 @@ and is carried on.  Served in a fixed queue order, the tokens that queues ``0..j
 are ``F_j(w) = floor(w * (T_0 + .. + T_j) / W)``, so queue ``j`` has been given ``F_j(w) - F_{j-1}(w)``, its deficit is
 always under one token, and every window is full.  Because this closed form needs no earlier window, deficits are
 carried across partitions without any task waiting for another: a document that knows where it begins in its queue
-knows its windows.  The last ``T mod size`` tokens, cut from the ends of the longest queues, fill one shorter sequence.
+knows its windows.  A queue has at least a token a window, so that its share never goes back.
+
+The ``MOST_QUEUES`` sources with the most tokens have queues of their own; the others, and sources under a token a window
+and a window more, share one (while that is too small itself, the next smallest source joins it).  Its documents stay whole
+and are served by the share of their own source that comes before them, with a phase hashed from the source: at any point of
+the shared queue each of its sources has been given what its tokens are owed, to within one of its documents.
+
+The last ``T mod size`` tokens, cut from the ends of the longest queues, fill one shorter sequence.
 
 Tokens are made once, written to a shared scratch table as 16-bit ids, and cut in a second pass.
 
@@ -28,8 +35,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Sequence length, end-of-document id and the most sources that get a queue of their own; smaller ones share a queue.
-SIZE, END_ID, MOST_QUEUES = 2048, 1, 255
+#: Sequence length, end-of-document id, the most sources that get a queue of their own, and the parts in which the shared one is put in order.
+SIZE, END_ID, MOST_QUEUES, SLICES = 2048, 1, 255, 4096
 VOCABULARY = "word_bpe_49k.json"
 
 _encoders: dict[str, object] = {}
@@ -43,27 +50,43 @@ def _encoder(path: str):
     return _encoders[path]
 
 
-def tokenized(docs: DataFrame, path: str, queues: dict[str | None, int], other: int, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, part, queue, rel, n, ids): ids as little-endian uint16; rel: tokens of the same part and queue before."""
-    schema = "doc_id long, part long, queue int, rel long, n long, ids binary"
+def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, part, key, rel, n, ids): key: of the source, null as well; ids as little-endian uint16; rel: tokens of the same part and source before."""
+    schema = "doc_id long, part long, key string, rel long, n long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, used = _encoder(path), TaskContext.get().partitionId(), {}
         for batch in batches:
-            ids, texts, sources = batch.columns
+            ids, texts, keys = batch.columns
             rows = [np.append(x, np.uint16(end_id)) for x in encoder.encode(texts)]
-            queue = [queues.get(s, other) for s in sources.to_pylist()]
             rel = []
-            for q, x in zip(queue, rows, strict=True):
-                rel.append(used.get(q, 0))
-                used[q] = rel[-1] + len(x)
+            for k, x in zip(keys.to_pylist(), rows, strict=True):
+                rel.append(used.get(k, 0))
+                used[k] = rel[-1] + len(x)
             n = len(rows)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([part] * n, pa.int64()), pa.array(queue, pa.int32()), pa.array(rel, pa.int64()), pa.array([len(x) for x in rows], pa.int64()), pa.array([x.astype("<u2").tobytes() for x in rows], pa.binary())],
-                names=["doc_id", "part", "queue", "rel", "n", "ids"],
+                [ids, pa.array([part] * n, pa.int64()), keys.cast(pa.string()), pa.array(rel, pa.int64()), pa.array([len(x) for x in rows], pa.int64()), pa.array([x.astype("<u2").tobytes() for x in rows], pa.binary())],
+                names=["doc_id", "part", "key", "rel", "n", "ids"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string")).mapInArrow(run, schema)
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), key.alias("key")).mapInArrow(run, schema)
+
+
+def shared(tokens: DataFrame, bases: DataFrame) -> DataFrame:
+    """(part, key, rel, at): where the documents of sources that share a queue begin in it; ``bases(part, key, base, total)``.
+
+    A document's place is the share of its source's tokens that comes before it, with a part of its own length that is hashed
+    from the source, so that sources of one document are spread too.  Slices of that place are put in order side by side."""
+    phase = F.pmod(F.xxhash64("key"), F.lit(1_000_003)) / F.lit(1_000_003)
+    rows = tokens.select("part", "key", "rel", "n").join(bases, ["part", "key"]).withColumn("place", (F.col("base") + F.col("rel") + phase * F.col("n")) / F.col("total"))
+    rows = common.written(rows.select("part", "key", "rel", "n", "place", F.least(F.floor(F.col("place") * SLICES), F.lit(SLICES - 1)).cast("int").alias("slice")))
+    sums = [0] * SLICES
+    for r in rows.groupBy("slice").agg(F.sum("n").alias("n")).collect():  # at most SLICES rows
+        sums[r.slice] = r.n
+    opens = tokens.sparkSession.createDataFrame(list(enumerate(np.cumsum([0, *sums[:-1]], dtype=np.int64).tolist())), "slice int, open long")
+    order = Window.partitionBy("slice").orderBy("place", "key", "part", "rel").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("in", F.coalesce(F.sum("n").over(order), F.lit(0))).join(F.broadcast(opens), "slice").select("part", "key", "rel", (F.col("open") + F.col("in")).alias("at"))
 
 
 class Schedule:
@@ -127,28 +150,27 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, mos
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue) of ``docs(doc_id, text, source)``."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    named = docs.groupBy(F.col("source").cast("string").alias("s")).count().orderBy(F.desc("count"), "s").limit(most_queues).collect()
-    queues, other = {r.s: k for k, r in enumerate(named)}, len(named)
-    tokens = common.written(tokenized(docs, path, queues, other, end_id))
-    parts = tokens.groupBy("part", "queue").agg(F.sum("n").alias("n"))
-    totals = [0] * (other + 1)
-    for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # one row a queue
-        totals[r.queue] = r.n
-    windows = sum(totals) // size
+    tokens = common.written(tokenized(docs, path, end_id))
+    parts = common.written(tokens.groupBy("part", "key").agg(F.sum("n").alias("n")).coalesce(8))
+    by_source = parts.groupBy("key").agg(F.sum("n").alias("total"))
+    total = by_source.agg(F.sum("total")).first()[0] or 0
+    windows = total // size
+    own = by_source.orderBy(F.desc("total"), "key").limit(most_queues).collect()
     # A queue below a token a window joins the shared one; while that is too small itself, so does the next smallest.
-    joined, tail = {}, 0
-    for j in sorted(range(other + 1), key=lambda j: (totals[j], -j)):
-        if totals[j] < windows + size or 0 < tail < windows + size or not windows:
-            joined[j], tail = other, tail + totals[j]
-    merged = [joined.get(j, j) for j in range(other + 1)]
-    sums = [0] * (other + 1)
-    for j, t in enumerate(totals):
-        sums[merged[j]] += t
-    plan = Schedule(sums, size)
-    to = F.element_at(F.array(*map(F.lit, merged)), F.col("queue") + 1)
-    order = Window.partitionBy("to").orderBy("part", "queue").rowsBetween(Window.unboundedPreceding, -1)
-    bases = common.written(parts.withColumn("to", to).select("part", "queue", "to", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")).coalesce(8))
-    placed = tokens.join(bases, ["part", "queue"]).select("doc_id", "to", (F.col("base") + F.col("rel")).alias("at"), "n", "ids")
+    tail = total - sum(r.total for r in own)
+    while own and (own[-1].total < windows + size or 0 < tail < windows + size or not windows):
+        tail += own.pop().total
+    other = len(own)
+    plan = Schedule([*(r.total for r in own), tail], size)
+    queues = F.broadcast(spark.createDataFrame([(r.key, k) for k, r in enumerate(own)], "key string, own int"))
+    order = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))).join(queues, "key", "left").withColumn("to", F.coalesce("own", F.lit(other)))
+    bases = common.written(bases.select("part", "key", "to", "base").coalesce(8))
+    placed = tokens.join(bases.where(F.col("to") < other), ["part", "key"]).select("doc_id", "to", (F.col("base") + F.col("rel")).alias("at"), "n", "ids")
+    if tail:
+        ends = bases.where(F.col("to") == other).join(by_source, "key").select("part", "key", "base", "total")
+        late = tokens.join(shared(tokens, ends), ["part", "key", "rel"]).select("doc_id", F.lit(other).alias("to"), "at", "n", "ids")
+        placed = placed.union(late) if own else late
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
