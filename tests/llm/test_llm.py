@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import itertools
+import math
 import re
 import zlib
 from collections import Counter
@@ -296,6 +298,33 @@ def test_passages_with_substitutions_are_found(spark):
     assert decontam.overlaps(empty(spark), bench).count() == 0 and decontam.overlaps(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_always_leave_a_seed():
+    for n in range(1, decontam.WINDOW + 1):
+        places = [{i + o for o in mask} for mask in decontam.masks_for({n}) for i in range(n - max(mask))]
+        lost = n - math.ceil(n * 4 / 5)
+        assert all(any(not p & {*gone} for p in places) for gone in itertools.combinations(range(n), lost)), n
+
+
+def test_short_items_and_items_without_id_are_found(spark):
+    word = [f"w{k}" for k in range(40)]
+    items = {n: " ".join(word[:n]) for n in (1, 2, 4, 5, 6, 7, 8, 10, 15)}
+    changed = {5: [2], 6: [3], 7: [3], 8: [2], 10: [4, 9], 15: [4, 7, 10]}
+    texts, want = [], set()
+    for n in items:
+        own = [f"n{n}x{w}" for w in word[:n]]
+        items[n] = " ".join(own)
+        for k, gone in enumerate(([], changed.get(n, []))):
+            texts.append((100 * n + k, f"{prose(5)} {' '.join('other' if i in gone else t for i, t in enumerate(own))} {prose(5)}"))
+            want.add((100 * n + k, n))
+        texts.append((100 * n + 2, f"{prose(5)} {' '.join('other' if i in [0, *changed.get(n, [])] else t for i, t in enumerate(own))} {prose(5)}"))
+    loose = prose(24, 77)
+    docs = spark.createDataFrame([*texts, (1, f"{prose(9)} {loose}"), (2, items[4]), (3, items[1])], "doc_id long, text string")
+    bench = spark.createDataFrame([*items.items(), (None, loose), (50, "?!"), (51, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.overlaps(docs, bench).collect()}
+    assert got == want | {(1, None), (2, 4), (3, 1)}
+    assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {100 * n + 2 for n in items}
+
+
 # ---- classifiers
 
 def labelled(spark, n=300):

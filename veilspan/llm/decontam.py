@@ -2,14 +2,16 @@
 
 A text is cut into lower-cased runs of letters and digits.  Each fixed mask takes five of the tokens at and after a
 position and ignores those between, so a substituted token spoils only some of the seeds around it.  Seeds of the test items
-meet seeds of the training texts in a hash join; each hit gives an alignment of item and text, and the pair stands if in some
+meet seeds of the training texts in a hash join.  Short items have further masks, so that whatever tokens of an item of up to
+a window are substituted within the tolerance, some mask misses them all; items under five tokens, where none may be, are
+seeds as a whole.  Texts are cut by a further mask only where an item of such a length exists.  Each hit gives an alignment of item and text, and the pair stands if in some
 window of ``WINDOW`` tokens of the item (or all of it, where shorter) at least ``IDENTITY`` agree with the text.
 
 The items' seeds are broadcast while there are at most ``MOST_BROADCAST`` of them, so that seeds of the texts are never
 shuffled; above that they meet in a shuffled join.
 
-Defined cases: null and empty texts, and items or texts shorter than the longest mask, have no seeds and are never reported;
-repeated items report under their smallest id; repeated rows of one id count as one; a null document id is reported as null;
+Defined cases: null and empty texts, and items without a letter or digit, are never reported; items with a null id are
+reported with it; repeated items report under their smallest id; repeated rows of one id count as one; a null document id is reported as null;
 empty tables give no rows; extra columns are ignored; texts of any length are read whole.
 """
 
@@ -22,7 +24,12 @@ from . import common
 
 #: Fixed masks: the token positions that count, of a span of eight.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 7))
-SPAN = 1 + max(max(m) for m in MASKS)
+#: Further masks by the length of the item that needs them.
+_GAPPED = (0, 1, 2, 4, 5)
+EXTRA = {
+    1: ((0,),), 2: ((0, 1),), 3: ((0, 1, 2),), 4: ((0, 1, 2, 3),), 5: ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4)), 6: ((0, 1, 2, 3), (0, 1, 3, 4)),
+    7: (_GAPPED,), 10: ((0, 1, 3, 7, 8),), 11: (_GAPPED,), 15: (_GAPPED,),
+}
 #: Tokens of the verified window, the share of them that must agree, and the most seeds that are broadcast.
 WINDOW, IDENTITY, MOST_BROADCAST = 20, 0.8, 400_000
 
@@ -33,14 +40,26 @@ def tokens(text: str | Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def seeds(texts: DataFrame) -> DataFrame:
-    """(key, pos, seed) of every mask at every position of ``texts(key, h)``.
+def masks_for(lengths: set[int]) -> dict[tuple[int, ...], list[int] | None]:
+    """The masks that items of ``lengths`` tokens need, and the lengths that use each; None: all."""
+    out: dict[tuple[int, ...], list[int] | None] = dict.fromkeys(MASKS)
+    for n in sorted(lengths & {*EXTRA}):
+        for mask in EXTRA[n]:
+            out.setdefault(mask, []).append(n)
+    return out
+
+
+def seeds(texts: DataFrame, masks: dict[tuple[int, ...], list[int] | None], own: bool = False) -> DataFrame:
+    """(key, pos, seed) of every mask wherever it fits into ``texts(key, h)``; ``own``: of items, by the masks of their lengths only.
 
     All seeds of a text are one array before they become rows, so that no row carries the text's tokens along."""
-    masked = ", ".join(f"xxhash64({k}, {', '.join(f'get(h, i + {o})' for o in mask)})" for k, mask in enumerate(MASKS))
-    each = F.expr(f"if(size(h) >= {SPAN}, flatten(transform(sequence(0, size(h) - {SPAN}), i -> array({masked}))), cast(array() as array<bigint>))")
-    rows = texts.select("key", F.posexplode_outer(each).alias("at", "seed")).where("seed is not null")
-    return rows.select("key", F.expr(f"cast(at div {len(MASKS)} as int)").alias("pos"), "seed")
+    each = []
+    for k, (mask, lengths) in enumerate(masks.items()):
+        fits = f"i + {max(mask)} < size(h)" + (f" and size(h) in ({', '.join(map(str, lengths))})" if own and lengths else "")
+        each.append(f"if({fits}, xxhash64({k}, {', '.join(f'get(h, i + {o})' for o in mask)}), null)")
+    every = F.expr(f"if(size(h) > 0, flatten(transform(sequence(0, size(h) - 1), i -> array({', '.join(each)}))), cast(array() as array<bigint>))")
+    rows = texts.select("key", F.posexplode_outer(every).alias("at", "seed")).where("seed is not null")
+    return rows.select("key", F.expr(f"cast(at div {len(masks)} as int)").alias("pos"), "seed")
 
 
 def items(bench: DataFrame) -> DataFrame:
@@ -53,14 +72,15 @@ def overlaps(docs: DataFrame, bench: DataFrame, key: str = "doc_id", most_broadc
     """(key, item_id, matched, window, at): contaminated texts of ``docs(key, text)``.
 
     matched: most agreeing tokens of a window of the item; window: its size; at: where the item would begin in the text."""
-    own = common.written(items(bench))
-    theirs = common.written(seeds(own.select(F.col("item_id").alias("key"), F.col("item").alias("h"))).select(F.col("key").alias("item_id"), F.col("pos").alias("ipos"), "seed").distinct())
+    own = common.written(items(bench).withColumn("ikey", F.monotonically_increasing_id()))
+    masks = masks_for({r.n for r in own.select(F.size("item").alias("n")).where(F.col("n") <= max(EXTRA)).distinct().collect()})  # as many rows as EXTRA has lengths
+    theirs = common.written(seeds(own.select(F.col("ikey").alias("key"), F.col("item").alias("h")), masks, own=True).select(F.col("key").alias("ikey"), F.col("pos").alias("ipos"), "seed").distinct())
     row = F.xxhash64(F.col(key), F.col("text").cast("string"))
     texts = docs.select(row.alias("key"), tokens(F.col("text").cast("string")).alias("h"))
     mark = F.broadcast(theirs) if theirs.count() <= most_broadcast else theirs
     # Hits of one passage share an alignment: one row for each, whatever the number of its seeds.
-    hits = seeds(texts).join(mark, "seed").groupBy("key", "item_id", (F.col("pos") - F.col("ipos")).alias("at")).agg(F.count("*").alias("n"))
-    lined = common.written(hits.join(own, "item_id").groupBy("key").agg(F.collect_list(F.struct("item_id", "at", "item")).alias("hits")))
+    hits = seeds(texts, masks).join(mark, "seed").groupBy("key", "ikey", (F.col("pos") - F.col("ipos")).alias("at")).agg(F.count("*").alias("n"))
+    lined = common.written(hits.join(own, "ikey").groupBy("key").agg(F.collect_list(F.struct("item_id", "at", "item")).alias("hits")))
     met = docs.select(F.col(key).alias("_id"), row.alias("key"), F.col("text").cast("string").alias("text")).join(lined, "key").select("_id", tokens("text").alias("h"), "hits")
     # Per alignment: tokens that agree, as 0 and 1, and the best sum over a window; beyond the text nothing agrees.
     agree = "transform(x.item, (t, i) -> if(x.at + i >= 0 and coalesce(get(h, x.at + i) = t, false), 1, 0))"
