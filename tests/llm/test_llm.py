@@ -281,6 +281,15 @@ def test_substrings_with_repeated_and_null_ids(spark):
     assert substrings.removed(empty(spark)).count() == 0
 
 
+def test_classes_travel_whole():
+    columns = [0, 0], [7, 7], [5 << 32 | 1, 5 << 32 | 2], [1, 2], [0, 0], [0, 0], [9, 9]
+    rows = substrings.Rows(*(np.array(c, t) for c, t in zip(columns, substrings.TYPES, strict=True)))
+    back, tail = substrings.Rows.unblock(rows.block(b"tail"))
+    assert [c.tolist() for c in back.columns] == [*map(list, columns)] and tail == b"tail"
+    done, *_, asking = substrings.settle(back, False)
+    assert len(done) == 0 and len(asking) == 2
+
+
 # ---- decontamination
 
 def test_passages_with_substitutions_are_found(spark):

@@ -174,20 +174,20 @@ class Rows:
         return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip((kind, key, doc, row, start, n), types, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     def block(self, tail: bytes = b"") -> bytes:
-        """Keys as they are, classes by half, the rest as differences in text order under zstd, then ``tail``."""
+        """Keys and classes as they are, the rest as differences in text order under zstd, then ``tail``."""
         kind, key, cls, doc, row, start, n = self.columns
         rest = np.diff(doc, prepend=0).tobytes() + row.tobytes() + np.diff(start, prepend=0).tobytes() + n.astype(np.int32).tobytes() + kind.astype(np.int32).tobytes()
         packed = zstandard.compress(rest + tail, 3)
-        return len(self).to_bytes(4, "little") + key.tobytes() + (cls.view(np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() + packed
+        return len(self).to_bytes(4, "little") + key.tobytes() + cls.tobytes() + packed
 
     @classmethod
     def unblock(cls, raw: bytes) -> tuple[Rows, bytes]:
         k = int.from_bytes(raw[:4], "little")
-        key, half = np.frombuffer(raw, np.int64, k, 4), np.frombuffer(raw, np.uint32, k, 4 + 8 * k)
-        rest = zstandard.decompress(raw[4 + 12 * k :])
+        key, own = (np.frombuffer(raw, np.int64, k, 4 + 8 * k * i) for i in range(2))
+        rest = zstandard.decompress(raw[4 + 16 * k :])
         doc, row, start = (np.frombuffer(rest, np.int64, k, 8 * k * i) for i in range(3))
         n, kind = (np.frombuffer(rest, np.int32, k, 24 * k + 4 * k * i) for i in range(2))
-        return cls(kind, key, half.astype(np.int64), np.cumsum(doc), row, np.cumsum(start), n), rest[32 * k :]
+        return cls(kind, key, own, np.cumsum(doc), row, np.cumsum(start), n), rest[32 * k :]
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
