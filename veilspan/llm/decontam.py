@@ -72,7 +72,8 @@ def overlaps(docs: DataFrame, bench: DataFrame, key: str = "doc_id", most_broadc
     """(key, item_id, matched, window, at): contaminated texts of ``docs(key, text)``.
 
     matched: most agreeing tokens of a window of the item; window: its size; at: where the item would begin in the text."""
-    own = common.written(items(bench).withColumn("ikey", F.monotonically_increasing_id()))
+    own = common.written(items(bench).where(F.size("item") > 0).withColumn("ikey", F.monotonically_increasing_id()))
+    sizes = own.select("ikey", F.size("item").alias("size"))
     masks = masks_for({r.n for r in own.select(F.size("item").alias("n")).where(F.col("n") <= max(EXTRA)).distinct().collect()})  # as many rows as EXTRA has lengths
     theirs = common.written(seeds(own.select(F.col("ikey").alias("key"), F.col("item").alias("h")), masks, own=True).select(F.col("key").alias("ikey"), F.col("pos").alias("ipos"), "seed").distinct())
     row = F.xxhash64(F.col(key), F.col("text").cast("string"))
@@ -80,14 +81,16 @@ def overlaps(docs: DataFrame, bench: DataFrame, key: str = "doc_id", most_broadc
     mark = F.broadcast(theirs) if theirs.count() <= most_broadcast else theirs
     # Hits of one passage share an alignment: one row for each, whatever the number of its seeds.
     hits = seeds(texts, masks).join(mark, "seed").groupBy("key", "ikey", (F.col("pos") - F.col("ipos")).alias("at")).agg(F.count("*").alias("n"))
-    lined = common.written(hits.join(own, "ikey").groupBy("key").agg(F.collect_list(F.struct("item_id", "at", "item")).alias("hits")))
+    lined = common.written(hits.join(sizes, "ikey").groupBy("key").agg(F.collect_list(F.struct("ikey", "at", "size")).alias("hits")))
     met = docs.select(F.col(key).alias("_id"), row.alias("key"), F.col("text").cast("string").alias("text")).join(lined, "key").select("_id", tokens("text").alias("h"), "hits")
-    # Per alignment: tokens that agree, as 0 and 1, and the best sum over a window; beyond the text nothing agrees.
-    agree = "transform(x.item, (t, i) -> if(x.at + i >= 0 and coalesce(get(h, x.at + i) = t, false), 1, 0))"
-    size = f"least({WINDOW}, size(x.item))"
-    best = f"array_max(transform(sequence(0, size(x.item) - {size}), j -> aggregate(slice(y, j + 1, {size}), 0, (n, e) -> n + e)))"
-    scored = f"transform(hits, x -> struct(x.item_id as item_id, x.at as at, {size} as window, transform(array({agree}), y -> {best})[0] as matched))"
-    rows = met.select("_id", F.explode(F.expr(f"filter({scored}, r -> r.matched >= ceil({IDENTITY} * r.window))")).alias("r")).select("_id", "r.*")
+    # An alignment takes along the tokens beside the item, and no others; beyond the text there are none (null).
+    beside = "transform(hits, x -> struct(x.ikey as ikey, x.at as at, transform(sequence(0, x.size - 1), i -> if(x.at + i >= 0, get(h, x.at + i), null)) as part))"
+    met = met.select("_id", F.explode(F.expr(beside)).alias("x")).select("_id", "x.*").join(own, "ikey")
+    # Tokens that agree, as 0 and 1, and the best sum over a window.
+    size = f"least({WINDOW}, size(item))"
+    rows = met.withColumn("y", F.expr("zip_with(item, part, (t, p) -> if(coalesce(t = p, false), 1, 0))"))
+    rows = rows.select("_id", "item_id", "at", F.expr(size).alias("window"), F.expr(f"array_max(transform(sequence(0, size(item) - {size}), j -> aggregate(slice(y, j + 1, {size}), 0, (n, e) -> n + e)))").alias("matched"))
+    rows = rows.where(F.col("matched") >= F.ceil(IDENTITY * F.col("window")))
     return rows.groupBy("_id", "item_id").agg(F.max("matched").alias("matched"), F.max("window").alias("window"), F.min("at").alias("at")).withColumnRenamed("_id", key)
 
 

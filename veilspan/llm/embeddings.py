@@ -8,8 +8,10 @@ compared by cosine in double precision.  A task returns sums and a spanning fore
 a group with a third of all rows stays linear in what is moved for each pair of blocks.
 
 Defined cases: a null vector or label, a zero vector, and one with null or non-finite components links with nothing and is
-its own component, kept; repeated rows of one id count as one vector; vectors of different lengths link with nothing of the
-other length; empty tables give no rows; extra columns are ignored.
+its own component, kept; a row with a null id links with nothing, is counted by no other row, and has a null component, kept;
+repeated rows of one id count as one vector; different vectors of one id are rows of the links and the component that they
+have together; vectors of different lengths link with nothing of the other length; empty tables give no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Threshold, most vectors in a block, most pivots of a label and of all labels together, and rows of a tree's leaf.
-COSINE, BLOCK, MOST_PIVOTS, ALL_PIVOTS, LEAF = 0.98, 4096, 32, 8192, 48
+#: Threshold, most vectors in a block, most pivots of a label and of all labels together, rows of a tree's leaf, and balls of a label that meet all others in one slice.
+COSINE, BLOCK, MOST_PIVOTS, ALL_PIVOTS, LEAF, SLICE = 0.98, 4096, 32, 8192, 48, 256
 
 
 def net(x: np.ndarray, rows: np.ndarray, head: int, level: float, chunk: int = 256) -> list[tuple[int, np.ndarray]]:
@@ -115,16 +117,16 @@ def _forest(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 def linked(vectors: DataFrame, least: float = COSINE, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors(vec_id, embedding, label)``."""
     spark = vectors.sparkSession
-    fine = F.expr("embedding is not null and label is not null and size(embedding) > 0 and not exists(embedding, e -> e is null or isnan(e) or abs(e) = double('infinity')) and exists(embedding, e -> e <> 0)")
+    fine = F.expr("vec_id is not null and embedding is not null and label is not null and size(embedding) > 0 and not exists(embedding, e -> e is null or isnan(e) or abs(e) = double('infinity')) and exists(embedding, e -> e <> 0)")
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     same = F.expr("concat_ws('/', size(embedding), label)")
     valid = rows.where(fine).select("vec_id", same.alias("label"), "embedding").distinct()
-    classes = common.written(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("n")).withColumn("class", F.xxhash64("label", "low")))
+    classes = common.written(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("n")).withColumn("class", F.monotonically_increasing_id()))
     sizes = classes.groupBy("label").agg(F.count("*").alias("size"))
     # Pivots of labels that need more than one block: bounded in number for each label and in all.
     many = sizes.where(F.col("size") > block)
     share = F.least(F.lit(1.0), F.least(F.lit(4.0 * MOST_PIVOTS), 8.0 * F.ceil(F.col("size") / block)) / F.col("size"))
-    picked = classes.join(many, "label").where(F.pmod(F.xxhash64("class"), F.lit(1_000_003)) < share * 1_000_003).select("label", "embedding", F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("size") / block)).alias("k")).limit(ALL_PIVOTS).collect()
+    picked = classes.join(many, "label").where(F.pmod(F.xxhash64("class"), F.lit(1_000_003)) < share * 1_000_003).select("class", "label", "embedding", F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("size") / block)).alias("k")).orderBy(F.xxhash64("class"), "class").limit(ALL_PIVOTS).collect()
     pivots: dict[str, np.ndarray] = {}
     for label in sorted({r.label for r in picked}):
         own = sorted((tuple(r.embedding), r.k) for r in picked if r.label == label)
@@ -154,7 +156,12 @@ def linked(vectors: DataFrame, least: float = COSINE, block: int = BLOCK) -> Dat
     balls = common.written(dealt.groupBy("block").applyInPandas(measure, "label string, block long, center array<double>, radius double"))
     reach = float(np.sqrt(2 - 2 * least)) + 1e-9
     apart = F.expr("aggregate(zip_with(a.center, b.center, (u, v) -> (u - v) * (u - v)), 0D, (s, v) -> s + v)")
-    met = balls.alias("a").join(balls.alias("b"), "label").where("a.block <= b.block").where(F.sqrt(apart) <= F.col("a.radius") + F.col("b.radius") + reach)
+    # A label's balls meet in slices, so that a hot label is many keys.
+    slices = balls.groupBy("label").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    sliced = balls.join(slices, "label")
+    left = sliced.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    right = sliced.withColumn("slice", F.pmod(F.xxhash64("block", F.lit("slice")), F.col("slices")).cast("int"))
+    met = left.alias("a").join(right.alias("b"), ["label", "slice"]).where("a.block <= b.block").where(F.sqrt(apart) <= F.col("a.radius") + F.col("b.radius") + reach)
     met = common.written(met.select(F.col("a.block").alias("p"), F.col("b.block").alias("q")).withColumn("pair", F.xxhash64("p", "q")))
     sides = met.select("pair", F.col("p").alias("block"), F.lit(0).alias("side")).union(met.where("p <> q").select("pair", F.col("q").alias("block"), F.lit(1)))
     work = sides.join(dealt.select("block", "class", "n", "embedding"), "block").select("pair", "side", "class", "n", "embedding")
@@ -189,7 +196,7 @@ def linked(vectors: DataFrame, least: float = COSINE, block: int = BLOCK) -> Dat
     inside = valid.join(each, ["label", "embedding"]).groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = rows.select("vec_id").join(inside, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def op6_embeddings(spark, sf_dir: str) -> DataFrame:
@@ -199,10 +206,10 @@ def op6_embeddings(spark, sf_dir: str) -> DataFrame:
 
 #: The same in DuckDB: all pairs of a label, and a recursive closure.
 ORACLE = """
-with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.98),
 r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
 n as (select a, count(*) as n from l group by a),
 c as (select a, min(b) as b from r group by a)
-select e.vec_id, coalesce(n.n, 0)::bigint as n_links, least(e.vec_id, coalesce(c.b, e.vec_id)) as component_id, e.vec_id = least(e.vec_id, coalesce(c.b, e.vec_id)) as kept
+select e.vec_id, coalesce(n.n, 0)::bigint as n_links, least(e.vec_id, coalesce(c.b, e.vec_id)) as component_id, e.vec_id is not distinct from least(e.vec_id, coalesce(c.b, e.vec_id)) as kept
 from embeddings e left join n on n.a = e.vec_id left join c on c.a = e.vec_id"""

@@ -1,7 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of hashed 1- to 3-grams by language come from labelled training rows (a bounded, hash-chosen sample of whole
-documents); their log-probability matrix is broadcast, and each text is scored by its sparse bucket counts.
+documents); their log-probability matrix is broadcast, and the texts of a batch are scored together: their bucket counts are
+the rows of one sparse matrix, whose product with the log-probabilities gives all scores.  Every language of the sample is
+learned; the matrix has 128 KB for each, and the sample bounds their number.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; rows with a null or empty lang or a null
 id train nothing; a null id counts as held out; an empty training set predicts ``und`` everywhere; repeated rows and
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: log2 of the buckets, n-gram sizes, the most training documents (whole ones), the most languages.
-BITS, SIZES, MOST_TRAIN, MOST_LANGS = 15, (1, 2, 3), 30_000, 200
+#: log2 of the buckets, n-gram sizes, the most training documents (whole ones), and numbers that a product holds at once.
+BITS, SIZES, MOST_TRAIN, CELLS = 15, (1, 2, 3), 30_000, 1 << 22
 UNKNOWN = "und"
 #: Code points beyond this share places in the table of letters.
 PLANE = 0x11_0000
@@ -66,6 +68,7 @@ def bucket_counts(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.nd
 
 def fit(rows: DataFrame, most: int = MOST_TRAIN, bits: int = BITS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log-probability matrix buckets x languages, log priors) of ``rows(doc_id, text, lang)``."""
+    common.small_batches(rows.sparkSession)
     rows = rows.where("text is not null and trim(lang) <> '' and doc_id is not null")
     rows = common.bounded_sample(rows.select("doc_id", "text", "lang"), "doc_id", most)
 
@@ -74,29 +77,49 @@ def fit(rows: DataFrame, most: int = MOST_TRAIN, bits: int = BITS) -> tuple[list
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 at, n = bucket_counts(text, bits)
-                # A document counts as much as any other, so that a few long ones do not decide.
-                t = total.setdefault(lang, np.zeros((1 << bits) + 1))
-                if len(at):
-                    t[at] += n * (min(float(n.sum()), 2000.0) / n.sum())
+                t = total.setdefault(lang, np.zeros((1 << bits) + 1, np.int64))
+                t[at] += n
                 t[-1] += 1
+                if len(total) * len(t) > CELLS:
+                    yield from counted(total)
+                    total = {}
+        yield from counted(total)
+
+    def counted(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for lang, t in total.items():
             at = np.flatnonzero(t)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(t[at])], names=["lang", "bucket", "n"])
-
-    sums = common.written(rows.mapInArrow(count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    langs = [r.lang for r in sums.where(F.col("bucket") == 1 << bits).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()]
-    langs.sort()
-    # At most MOST_LANGS x buckets numbers, whatever the input.
-    got = sums.where(F.col("lang").isin(langs)).toPandas() if langs else None
-    counts, docs = np.zeros((1 << bits, len(langs))), np.zeros(len(langs))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(t[at])], names=["lang", "bucket", "n"])
+
+    sums = common.written(rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    # Buckets x languages numbers at most, and no more languages than the sample has documents.
+    got = sums.toPandas()
+    langs = sorted(got.lang.unique())
+    counts, docs = np.zeros((1 << bits, len(langs)), np.float32), np.zeros(len(langs))
     if langs:
         col = got.lang.map({x: k for k, x in enumerate(langs)}).to_numpy()
         row = got.bucket.to_numpy()
         real = row < 1 << bits
         counts[row[real], col[real]] = got.n.to_numpy()[real]
         docs[col[~real]] = got.n.to_numpy()[~real]
-    p = counts + 0.1
-    return langs, np.log(p / p.sum(0)), np.log(docs / docs.sum()) if langs else docs
+    counts += 0.1
+    return langs, np.log(counts / counts.sum(0, dtype=np.float64).astype(np.float32)), np.log(docs / docs.sum()) if langs else docs
+
+
+def scores(counts: list[tuple[np.ndarray, np.ndarray]], logs: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Log-probability of each text in each language: the sparse rows ``counts`` times ``logs``, in steps of whole texts."""
+    out = np.tile(prior, (len(counts), 1))
+    sizes = np.array([len(at) for at, _ in counts], np.int64)
+    upto = np.cumsum(sizes)
+    low = 0
+    while low < len(counts):
+        begin = upto[low] - sizes[low]
+        high = max(low + 1, int(np.searchsorted(upto, begin + CELLS // max(1, len(prior)), "right")))
+        some = np.arange(low, high)[sizes[low:high] > 0]
+        if len(some):
+            at, n = (np.concatenate([counts[k][i] for k in some.tolist()]) for i in range(2))
+            out[some] += np.add.reduceat(logs[at].astype(np.float64) * n[:, None], np.concatenate([[0], np.cumsum(sizes[some])[:-1]]))
+        low = high
+    return out
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], bits: int = BITS) -> DataFrame:
@@ -108,20 +131,14 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], bi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logs, prior = shared.value
         for batch in batches:
-            names, scores = [], []
-            for text in batch.column("text"):
-                at, n = bucket_counts(text.as_py(), bits)
-                if not len(at) or not langs:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                # Neighbouring n-grams say the same: evidence is tempered so that scores stay inside (0, 1).
-                s = (n @ logs[at]) * (1 / max(1.0, n.sum() ** 0.5)) + prior
-                e = np.exp(s - s.max())
-                k = int(e.argmax())
-                names.append(langs[k])
-                scores.append(float(e[k] / e.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            counts = [bucket_counts(t.as_py(), bits) for t in batch.column("text")]
+            known = np.array([len(at) > 0 for at, _ in counts], bool) & bool(langs)
+            names, score = np.full(len(counts), UNKNOWN, object), np.zeros(len(counts))
+            if known.any():
+                s = scores([c for c, k in zip(counts, known, strict=True) if k], logs, prior)
+                names[known] = np.array(langs, object)[s.argmax(1)]
+                score[known] = 1 / np.exp(s - s.max(1, keepdims=True)).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     held = F.coalesce(common.fold("doc_id", 5) == 0, F.lit(True)).alias("held_out")
     return docs.select("doc_id", F.col("text").cast("string"), held).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -130,5 +147,4 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], bi
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the four fifths of ids that are not held out."""
     docs = common.table(spark, sf_dir, "documents")
-    common.small_batches(spark)
     return predict(docs, fit(docs.where(common.fold("doc_id", 5) != 0)))

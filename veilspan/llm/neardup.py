@@ -117,7 +117,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, row, class, bands) of every row of ``docs(doc_id, text)``; class: 128-bit hash of its words; row: of id and text."""
+    """(doc_id, row, class, bands) of every row of ``docs(doc_id, text)``; class: 128-bit hash of its words; row: 128 bits of id and text."""
     common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,14 +133,19 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * bands)]), pa.int32()), pa.array(h[has].ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(ids, pa.binary()), flat], names=["doc_id", "row", "class", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, row long, class binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), row_of("doc_id", "text").alias("row"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, row binary, class binary, bands array<long>")
+
+
+def row_of(doc_id: str, text: str) -> F.Column:
+    """128 bits that name a row by its id and text."""
+    return F.unhex(F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(k), doc_id, text)), 16, "0") for k in (1, 2))))
 
 
 def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(class, text) of some classes, each from the row that stands for it."""
     wanted = common.written(nodes.join(classes.select("class", "row"), "class"))
     wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted  # else texts are moved to meet them
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(row_of("doc_id", "text").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return common.written(texts.join(wanted, "row").select("class", "text").dropDuplicates(["class"]))
 
 
@@ -224,11 +229,14 @@ def groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rows = common.written(signed(docs))
     classes = common.written(rows.groupBy("class").agg(F.min("row").alias("row"), F.min("doc_id").alias("low"), F.first("bands").alias("bands")))
     banded = classes.select("class", F.explode("bands").alias("band"))
-    shared = common.written(banded.join(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"))
+    # What is known of a band is written before it meets the band's classes: a join of two plain tables can be split where a
+    # band is hot, and sums and maxima are taken in every task before they are moved.
+    sizes = common.written(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = common.written(banded.join(sizes, "band"))
     # A class is the more central, the larger its bands are: copies differ from each other more than from their source.
     central = shared.groupBy("class").agg(F.sum("n").alias("weight"))
     shared = common.written(shared.select("class", "band").join(central, "class"))
-    heads = shared.groupBy("band").agg(F.max(F.struct("weight", "class"))["class"].alias("head"))
+    heads = common.written(shared.groupBy("band").agg(F.max(F.struct("weight", "class"))["class"].alias("head")))
     headed = common.written(shared.join(heads, "band").where("class <> head").select("band", "class", "head"))
     links = verified(headed.select(F.col("class").alias("a"), F.col("head").alias("b")).distinct(), classes, docs, least)
     named = common.components(links)
@@ -245,7 +253,7 @@ def deduplicated(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates: the one with the smallest id."""
     kept = groups(docs, least).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("k")).select(F.col("k.row").alias("_row")).distinct()
     kept = common.written(kept)
-    out = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(kept, "_row")
+    out = docs.withColumn("_row", row_of("doc_id", "text")).join(kept, "_row")
     return out.dropDuplicates(["_row"]).drop("_row")
 
 

@@ -168,7 +168,9 @@ def _spans(rule: Rule, rank: int) -> Column:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` (with ``text``) and ``found``: array of (start, rank, end), by start, then the rule's place in ``rules``."""
-    keyed = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_key", F.xxhash64("text"))
+    keyed = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    # The id is part of the key, so that copies of one text are many keys.
+    keyed = keyed.withColumn("_key", F.xxhash64("text", *(c for c in ("doc_id",) if c in docs.columns)))
     hits = common.written(candidates(keyed.select(F.col("_key").alias("key"), "text"), rules)).select(F.col("key").alias("_key"), F.col("rules").alias("_rules"))
     out = keyed.join(hits, "_key", "left")
     none = F.expr("cast(array() as array<string>)")

@@ -1,14 +1,15 @@
 """Toxicity by weak supervision.
 
 Voters are insult terms of a fixed lexicon, word stems induced from labelled training rows, and patterns (how many
-distinct terms, how dense, address to a reader).  A generative label model estimates each voter's accuracy on both classes
-by expectation maximisation over the votes of a bounded sample of training rows, anchored by their labels, and weighs
-voters down by how correlated their votes are within a class.  A linear classifier on vote features is trained on the
-posterior labels and scores every text.
+distinct terms, how dense, address to a reader).  A generative label model over the votes of a bounded sample of training
+rows estimates by expectation maximisation how often each voter votes in both classes and how its votes correlate with the
+others' within a class; voters that go together are one block with one distribution, so that they are not counted twice.
+The posterior comes from the votes alone: labels only propose stems and say where the estimation begins.  A linear
+classifier on vote features is trained on the posteriors and scores every text.
 
 Defined cases: null and empty texts have no votes and a score like any other; null ids count as held out; null or repeated
-labels train nothing twice; without labelled rows the fixed lexicon votes alone; extra columns are ignored; whole texts are
-read at any length.
+labels train nothing twice; without rows of both labels the fixed lexicon votes alone; an empty table gives no rows; repeated
+rows are scored each; extra columns are ignored; whole texts are read at any length.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from . import common
 from .quality import training
 
-#: The most labelled rows that are fitted, induced stems, and lengths of a stem.
-MOST_TRAIN, MOST_STEMS, STEM = 20_000, 400, (4, 5, 6)
+#: The most labelled rows that are fitted, lengths of a stem, the share of toxic rows (and the number) that a stem must stand in,
+#: and the correlation within a class from which two voters belong to one block.  With that share a text of k pieces brings
+#: in k / LEAST_SHARE stems at most, on average over the toxic rows: no further bound is needed.
+MOST_TRAIN, STEM, LEAST_SHARE, LEAST_ROWS, TOGETHER = 20_000, (4, 5, 6), 0.02, 4, 0.5
 #: Fixed lexicon of insults, matched as whole words.
 LEXICON = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown", "imbecile", "cretin", "vermin", "filth", "dumb", "bastard", "degenerate", "parasite")
 WORD = re.compile(r"[^\W\d_]+")
@@ -76,25 +79,39 @@ class Voters:
         return out
 
 
-def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 30, anchor: float = 0.8) -> np.ndarray:
-    """Posterior that each row is toxic.
+def blocks(together: np.ndarray) -> np.ndarray:
+    """Number of each voter's block: the components of a symmetric relation."""
+    name = np.arange(len(together))
+    while True:
+        low = np.where(together, name, len(name)).min(1, initial=len(name))
+        new = np.minimum(name, low)
+        if (new == name).all():
+            return np.unique(name, return_inverse=True)[1]
+        name = new
 
-    Expectation maximisation of a generative model with a rate of voting in each class for every voter.  Correlation: a
-    voter's log-odds are divided by one plus the sum of its squared within-class correlations with the others.  The labels
-    hold the posterior with weight ``anchor``, since marks may be wrong and the votes have their say.
+
+def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 80) -> np.ndarray:
+    """Posterior that each row is toxic, from its votes.
+
+    Expectation maximisation from ``y`` as the first guess.  A round estimates each voter's rate in both classes and the
+    correlations of what the rates leave open; blocks of voters that correlate by ``TOGETHER`` or more have one distribution
+    over how many of them vote, and blocks are independent within a class.
     """
-    q = np.where(y == 1, 0.9, 0.05)
+    q, n = np.where(y == 1, 0.9, 0.05), len(votes)
     for _ in range(rounds):
-        prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
-        p1 = (q @ votes + 0.5) / (q.sum() + 1)
-        p0 = ((1 - q) @ votes + 0.05) / ((1 - q).sum() + 1)
+        p1, p0 = (q @ votes + 0.5) / (q.sum() + 1), ((1 - q) @ votes + 0.05) / ((1 - q).sum() + 1)
         rest = votes - np.outer(q, p1) - np.outer(1 - q, p0)
         sd = np.sqrt((rest**2).mean(0)) + 1e-6
-        corr = (rest.T @ rest) / len(rest) / np.outer(sd, sd)
-        weight = 1 / np.maximum(1.0, (corr**2).sum(0))
-        on, off = np.log(p1 / p0), np.log((1 - p1) / (1 - p0))
-        odds = np.log(prior / (1 - prior)) + votes @ (on * weight) + (1 - votes) @ (off * weight)
-        new = anchor * y + (1 - anchor) / (1 + np.exp(-np.clip(odds, -30, 30)))
+        block = blocks(rest.T @ rest / n >= TOGETHER * np.outer(sd, sd))
+        prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
+        odds = np.full(n, np.log(prior / (1 - prior)))
+        for b in range(block.max() + 1):
+            many = votes[:, block == b].sum(1).astype(np.int64)
+            kinds = many.max() + 1
+            on = (np.bincount(many, q, kinds) + 0.5 / kinds) / (q.sum() + 0.5)
+            off = (np.bincount(many, 1 - q, kinds) + 0.05 / kinds) / ((1 - q).sum() + 0.05)
+            odds += np.log(on / off)[many]
+        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if np.abs(new - q).max() < 1e-5:
             return new
         q = new
@@ -117,6 +134,7 @@ def linear(votes: np.ndarray, q: np.ndarray, decay: float = 1e-3) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Voters, np.ndarray]:
+    """Voters and the classifier's weights, from the labelled rows that are not held out."""
     rows = training(docs, labels, "toxic", common.fold("doc_id", 5) != 0, MOST_TRAIN)
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,19 +165,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Voters, np.ndarray]:
 
 
 def _keys(words: DataFrame) -> list[str]:
-    """Stems worth a vote, from counts made in the cluster: the driver gets those that pass, MOST_STEMS at most."""
+    """Stems worth a vote, from counts made in the cluster: the driver gets those that pass, bounded by LEAST_SHARE."""
     pieces = F.array_distinct(F.flatten(F.transform(F.split("words", " "), lambda w: F.filter(
-        F.array(F.when(F.length(w) >= 3, F.concat(w, F.lit("$"))), *(F.when(F.length(w) > n, F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEM)), lambda x: x.isNotNull()))))
+        F.array(F.when(F.length(w) >= 3, F.concat(w, F.lit("$"))), *(F.when(F.length(w) >= n, F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEM)), lambda x: x.isNotNull()))))
     stored = common.written(words)
     sizes = {r.y: r["count"] for r in stored.groupBy("y").count().collect()}
     n1, n0 = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
     seen = stored.select("y", F.explode(pieces).alias("key")).groupBy("key").agg(F.sum("y").alias("c1"), F.sum(1 - F.col("y")).alias("c0"))
-    good = seen.where((F.col("c1") >= 4) & (F.col("c1") / n1 >= 12 * (F.col("c0") + 0.5) / n0) & (F.col("c1") >= 0.7 * (F.col("c1") + F.col("c0"))))
+    good = seen.where((F.col("c1") >= max(LEAST_ROWS, LEAST_SHARE * n1)) & (F.col("c1") / n1 >= 12 * (F.col("c0") + 0.5) / n0))
     kept: list[str] = []
-    for r in good.orderBy(F.desc("c1"), F.length("key"), "key").limit(8 * MOST_STEMS).collect():
-        if not any(k[-1] == "*" and r.key.startswith(k[:-1]) for k in kept):
+    stems: set[str] = set()
+    for r in good.orderBy(F.desc("c1"), F.length("key"), "key").collect():
+        if not any(r.key[:n] in stems for n in STEM):
             kept.append(r.key)
-    return kept[:MOST_STEMS]
+            if r.key[-1] == "*":
+                stems.add(r.key[:-1])
+    return kept
 
 
 def scored(docs: DataFrame, model: tuple[Voters, np.ndarray], keep: list[str] | None = None) -> DataFrame:
