@@ -262,17 +262,36 @@ def brute_removed(docs):
     return out
 
 
-@pytest.mark.parametrize("hot", [16, 1])
-def test_substrings_match_brute_force(spark, hot, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT", hot)
+@pytest.mark.parametrize("limits", [{}, {"bits": 2, "array": 4096}, {"bits": 3, "hot": 4, "segment": 64, "chunk": 4096, "array": 1}, {"hot": 2, "segment": 300, "chunk": 2000}])
+def test_substrings_match_brute_force(spark, limits):
+    """As given; with hashes of a few bits, so that unequal strings collide; over the seams of segments; and with every anchor hot."""
     shared = [prose(40, k) for k in range(4)]
     texts = {k: f"{prose(30)} {shared[k % 4]} {prose(int(k))} {shared[(k * 3) % 4][50:]} é" for k in range(40)}
     texts |= {50: texts[3], 51: "ab" * 400, 52: "z" * 99, 53: "z" * 100, 54: "z" * 300, 55: None, 56: "", 57: texts[3][5:-5] + shared[0]}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3).withColumn("row", F.lit(1)).withColumn("doc", F.lit(2))
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in substrings.removed(df).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in substrings.removed(df, **limits).collect()}
     assert got == brute_removed(texts)
 
 
+def test_substrings_over_the_seam_of_long_texts(spark):
+    seam = substrings.SEGMENT
+    long = "".join(map(chr, np.random.default_rng(8).integers(97, 123, seam + 5000)))
+    texts = {1: long, 2: "x" + long[seam - 150 : seam + 150], 3: long[seam - 60 : seam + 39], 4: long[seam - 60 : seam + 40], 5: long[: seam // 8] + long[seam - 1 : seam + 200]}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in substrings.removed(df).collect()}
+    assert got == {1: (seam + 5000, 0, 0), 2: (301, 300, 1), 3: (99, 0, 0), 4: (100, 100, 1), 5: (seam // 8 + 201, seam // 8 + 201, 1)}
+
+
+def test_previous_factors_match_brute_force():
+    draw = np.random.default_rng(4)
+    for letters in (1, 2, 3, 2, 1, 3):
+        raw = draw.integers(97, 97 + letters, 260).astype(np.uint8)
+        raw = np.concatenate([raw, raw[:150], raw])
+        at = np.sort(draw.choice(len(raw) - 99, 90, replace=False))
+        same = lambda x, y: next((i for i in range(100) if raw[x + i] != raw[y + i]), 100)
+        assert substrings.previous_factors(raw, at).tolist() == [max((same(x, y) for y in at[:k]), default=0) for k, x in enumerate(at)]
+
+
 def test_substrings_with_repeated_and_null_ids(spark):
     a, b = prose(60, 1), prose(60, 2)
     got = substrings.removed(spark.createDataFrame([(1, a), (1, a), (2, b), (2, a), (None, b)], "doc_id long, text string")).collect()
@@ -281,13 +300,11 @@ def test_substrings_with_repeated_and_null_ids(spark):
     assert substrings.removed(empty(spark)).count() == 0
 
 
-def test_classes_travel_whole():
-    columns = [0, 0], [7, 7], [5 << 32 | 1, 5 << 32 | 2], [1, 2], [0, 0], [0, 0], [9, 9]
-    rows = substrings.Rows(*(np.array(c, t) for c, t in zip(columns, substrings.TYPES, strict=True)))
+def test_blocks_travel_whole():
+    columns = [0, 1], [7 << 40, -7], [1, 2], [0, 5], [3, 0], [9, 76]
+    rows = substrings.Rows(*(np.array(c, t) for c, t in zip(columns, substrings.Rows.TYPES, strict=True)))
     back, tail = substrings.Rows.unblock(rows.block(b"tail"))
     assert [c.tolist() for c in back.columns] == [*map(list, columns)] and tail == b"tail"
-    done, *_, asking = substrings.settle(back, False)
-    assert len(done) == 0 and len(asking) == 2
 
 
 # ---- decontamination

@@ -59,7 +59,7 @@ class _Runs:
 
 
 class WordBPE:
-    def __init__(self, path: str, cache_words: int = 1_000_000) -> None:
+    def __init__(self, path: str, cache_words: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes and rows of an Arrow batch handed to Python; texts can be long, so a batch is bounded by its bytes.
-ARROW_BYTES, ARROW_ROWS = 4 * 2**20, 20_000
+ARROW_BYTES, ARROW_ROWS = 2 * 2**20, 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

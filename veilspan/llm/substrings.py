@@ -1,21 +1,22 @@
-"""Exact substring removal by longest previous factors.
-
-A byte goes if a string of ``LENGTH`` bytes over it also starts earlier.  In suffix order the longest previous factor of a
-position is the longer of its common prefixes with the nearest earlier positions on both sides; it reaches ``LENGTH`` exactly
-if the position is not the first in its run of suffixes that agree on ``LENGTH`` bytes.  Only that decision is asked for, so
-suffixes are ordered by their first ``LENGTH`` bytes, and the runs of that order are told by fingerprints (128 bits, and for
-whole stretches 64 bits of anchor and 64 of content).  Previous and next smaller positions then come down to "is there a
-smaller position in my run", which needs no shared memory:
-
-1. Anchors.  The window at a position belongs to the least ``GRAM``-byte hash in it (leftmost of equals), the same in every
-   copy.  Consecutive windows of one anchor form a stretch; stretches of equal content are one class.  A stretch that is not
-   the first of its class is removed whole.
-2. Only first stretches of anchors that have several different stretches are asked about window by window: the bytes of such
-   stretches meet by anchor, and their windows are put in order there.
-
-Both levels first settle, in each map task, everything but the task's own first position of a class, so a string that a third
-of all documents share sends at most one row for each task.  An anchor with very many different stretches is not gathered:
-its windows go on by their own fingerprints.  Rows travel packed in column blocks, in text order, one for each task and bucket.
+"""Exact substring removal by longest-previous-factor arrays.
+
+A byte goes if a string of ``LENGTH`` bytes over it also starts earlier.  The longest previous factor of a position is the
+longer of its common prefixes with the nearest earlier positions on both sides in suffix order (previous and next smaller
+positions); a window of ``LENGTH`` bytes is removed where that factor reaches ``LENGTH``.  Suffix arrays are built for groups
+of windows that can be equal at all, which are found first:
+
+1. Anchors.  The window at a position belongs to the least hash of the grams in it (leftmost of equals), the same in every
+   copy.  Consecutive windows of one anchor form a stretch.  Each task compares the bytes of its own equal stretches: all but
+   the first are removed whole.  What is left goes by the anchor's hash to a bucket, without its bytes, and an anchor that
+   stands there once holds no repeated string.
+2. The stretches of the other anchors meet with their bytes, by anchor.  Equal ones are told by their bytes; over the
+   different ones of an anchor a suffix array is built, its neighbours' common prefixes are measured, and the longest
+   previous factors of all windows follow.
+
+Hashes only say what can be equal; every byte that is removed has been compared.  An anchor with more than ``HOT`` stretches
+is dealt to groups of about that many.  What is repeated inside a group is settled there; the windows that are left meet
+again by anchors of a longer gram (at last the whole window), so that no task holds a group that grows with the corpus.
+Rows travel packed in column blocks, in text order, one for each task and bucket; the number of buckets follows the text.
 
 Defined cases: a null text is empty; texts under ``LENGTH`` bytes lose nothing; of rows with one id, those with different
 texts are ordered by a hash of their text and those with equal texts count as one document; null ids come before all others;
@@ -25,6 +26,7 @@ empty tables give no rows; extra columns are ignored; texts of any length are re
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,22 +37,21 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bytes of a repeated string, bytes of an anchor's gram, windows of a segment, text bytes of a task settled together,
-#: and different stretches of an anchor in a task above which they are not gathered.
-LENGTH, GRAM, SEGMENT, CHUNK, HOT = 100, 24, 1 << 20, 48 << 20, 16
+#: Bytes of a repeated string, and of an anchor's gram from round to round.
+LENGTH, GRAMS = 100, (24, 60, 100)
+#: Windows of a segment, text bytes of a task settled together, text bytes of a bucket of anchors, bytes of a bucket of
+#: stretches, bytes under one suffix array (if one group has no more), and stretches of an anchor that make it hot.
+SEGMENT, CHUNK, ANCHORED, STRETCHED, ARRAY, HOT = 1 << 20, 10 << 20, 16 << 20, 6 << 20, 1 << 20, 8192
 #: Stands for a null id: before all others.
 NO_ID = -(2**63)
-#: The same for all tasks together.
-HOT_IN_ALL = 4096
-ASK, REQUEST, DONE, MARK, HOT_REQUEST = 0, 1, 2, 3, 4
-SCHEMA = "kind int, key long, doc long, row long, start long, n int"
+ASK, DONE, REQUEST, SHARED, LEFT = range(5)
+SCHEMA = "kind int, key long, doc long, row long, start long, n int, salts int"
 BLOCKS = "bucket int, block binary"
-TYPES = np.int32, np.int64, np.int64, np.int64, np.int64, np.int64, np.int32
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASES = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _draw = np.random.Generator(np.random.PCG64(20))
-_TABLES = _draw.integers(0, 2**64, (2, 256), np.uint64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_TABLE = _draw.integers(0, 2**64, 256, np.uint64)
+_powers: list[np.ndarray] = []
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,81 +60,110 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power(n: int) -> list[np.ndarray]:
     """Powers of a base and of its inverse modulo 2^64."""
-    if which not in _powers or len(_powers[which][0]) < n:
-        size = max(n, SEGMENT + 4 * LENGTH)
-        base = _BASES[which]
-        both = []
-        for b in (base, pow(base, -1, 2**64)):
-            p = np.full(size, np.uint64(b))
+    if not _powers or len(_powers[0]) < n:
+        _powers.clear()
+        for b in (_BASES[0], pow(_BASES[0], -1, 2**64)):
+            p = np.full(max(n, SEGMENT + 4 * LENGTH), np.uint64(b))
             p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        _powers[which] = tuple(both)
-    return _powers[which]
+            _powers.append(np.multiply.accumulate(p))
+    return _powers
 
 
-class Prefix:
+def _hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hashes of any substrings of some bytes."""
+    up, down = _power(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_TABLE[raw] * up[: len(raw)], out=sums[1:])
+    return _mix((sums[stop] - sums[start]) * down[start])
 
-    def __init__(self, raw: np.ndarray, which: int) -> None:
-        up, self.down = _power(which, len(raw) + 1)
-        self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_TABLES[which][raw] * up[: len(raw)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[stop] - self.sums[start]) * self.down[start])
 
-
-def stretches(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(start, windows, anchor hash, class hash) of the stretches of texts that end at ``ends`` in ``raw``."""
+def stretches(raw: np.ndarray, ends: np.ndarray, gram: int = GRAMS[0], bits: int = 64) -> tuple[np.ndarray, ...]:
+    """(start, windows, anchor hash, class hash) of the stretches of texts that end at ``ends`` in ``raw``; ``bits`` of a hash count."""
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
     if len(raw) < LENGTH:
         return none
-    h = _TABLES[0][raw]
-    base, power = np.uint64(_BASES[1]), 1
-    grown = {1: h}
-    while power * 2 <= GRAM:
+    power, grown = 1, {1: _TABLE[raw]}
+    while power * 2 <= gram:
         last = grown[power]
         grown[power * 2] = last[:-power] * np.uint64(pow(_BASES[1], power, 2**64)) + last[power:]
         power *= 2
     out, done = grown[power], power
-    while done < GRAM:
-        step = 1 << ((GRAM - done).bit_length() - 1)
+    while done < gram:
+        step = 1 << ((gram - done).bit_length() - 1)
         n = len(raw) - done - step + 1
         out = out[:n] * np.uint64(pow(_BASES[1], step, 2**64)) + grown[step][done : done + n]
         done += step
-    del base, grown
+    del grown
     out = _mix(out)
-    # The least of LENGTH - GRAM + 1 neighbouring hashes, with its place in the low bits.
+    # The least of LENGTH - gram + 1 neighbouring hashes, with its place in the low bits.
     low = np.uint64((1 << 30) - 1)
     least = (out & ~low) | np.arange(len(out), dtype=np.uint64)
-    span, size = LENGTH - GRAM + 1, 1
+    span, size = LENGTH - gram + 1, 1
     while size * 2 <= span:
         least = np.minimum(least[:-size], least[size:])
         size *= 2
     n = len(raw) - LENGTH + 1
     least = np.minimum(least[:n], least[span - size : span - size + n])
     owner = (least & low).astype(np.int64)
-    inside = np.ones(n, bool)  # windows that end in the text they start in
-    for_ends = ends[:-1]
-    cut = np.zeros(n + 1, np.int64)
-    np.add.at(cut, np.clip(for_ends - LENGTH + 1, 0, n), 1)
-    np.add.at(cut, np.clip(for_ends, 0, n), -1)
-    inside = np.cumsum(cut[:n]) == 0
-    text = np.searchsorted(ends, np.arange(n), "right") if len(ends) > 1 else np.zeros(n, np.int64)
-    at = np.flatnonzero(inside)
+    cut = np.zeros(n + 1, np.int64)  # windows that do not end in the text they start in
+    np.add.at(cut, np.clip(ends[:-1] - LENGTH + 1, 0, n), 1)
+    np.add.at(cut, np.clip(ends[:-1], 0, n), -1)
+    at = np.flatnonzero(np.cumsum(cut[:n]) == 0)
     if not len(at):
         return none
+    text = np.searchsorted(ends, at, "right")
     new = np.ones(len(at), bool)
-    new[1:] = (owner[at[1:]] != owner[at[:-1]]) | (text[at[1:]] != text[at[:-1]])
+    new[1:] = (owner[at[1:]] != owner[at[:-1]]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
     start = at[first]
     windows = np.diff(np.append(first, len(at)))
-    anchor = out[owner[start]]
-    shape = ((owner[start] - start) << 20) | windows
-    cls = _mix(Prefix(raw, 0).of(start, start + windows + LENGTH - 1) ^ _mix(shape.astype(np.uint64)))
-    return start, windows, anchor, cls
+    keep = np.uint64(2**bits - 1)
+    return start, windows, out[owner[start]] & keep, _hashes(raw, start, start + windows + LENGTH - 1) & keep
+
+
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    return np.unique(keys, return_inverse=True)[1].astype(np.uint64)
+
+
+def previous_factors(raw: np.ndarray, at: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Longest previous factor, up to ``length`` (64 to 128), of each window of ``length`` bytes at the ascending positions ``at`` in ``raw``.
+
+    Windows are ordered by their bytes (prefix doubling over ranks, exact), then by position.  Neighbours' common prefixes
+    come from the same ranks, and the previous and next smaller positions from jumps over larger ones."""
+    n = len(raw)
+    padded = np.concatenate([raw, np.zeros(256, np.uint8)])
+    rank = {8: _ranks(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[: n + 128]).view(">u8").ravel().astype(np.uint64))}
+    for step in (8, 16, 32):
+        rank[2 * step] = _ranks(rank[step] << np.uint64(32) | np.append(rank[step][step:], np.zeros(step, np.uint64)))
+    whole = rank[64][at] << np.uint64(32) | rank[64][at + (length - 64)]
+    order = np.argsort(whole, kind="stable")
+    a, b = at[order[:-1]], at[order[1:]]
+    same = np.zeros(len(a), np.int64)
+    for step in (64, 32, 16, 8):
+        same += step * (rank[step][a + same] == rank[step][b + same])
+    live = np.ones(len(a), bool)
+    for _ in range(7):
+        live &= padded[a + same] == padded[b + same]
+        same += live
+    same = np.where(whole[order[:-1]] == whole[order[1:]], length, np.minimum(same, length - 1))
+
+    def nearest(place: np.ndarray, common_: np.ndarray) -> np.ndarray:
+        """Common prefix with the nearest smaller position before each in suffix order; ``common_``: with the one just before."""
+        last, low = np.arange(-1, len(place) - 1), np.append(0, common_)
+        open_ = np.flatnonzero(np.append(False, place[:-1] > place[1:]))
+        while len(open_):
+            j = last[open_]
+            low[open_], last[open_] = np.minimum(low[open_], low[j]), last[j]
+            open_ = open_[last[open_] >= 0]
+            open_ = open_[place[last[open_]] > place[open_]]
+        low[last < 0] = 0
+        return low
+
+    out = np.zeros(len(at), np.int64)
+    out[order] = np.maximum(nearest(order, same), nearest(order[::-1], same[::-1])[::-1])
+    return out
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -145,74 +175,82 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 
 
 class Rows:
-    """Columns kind, key, cls, doc, row, start, n."""
+    """Columns kind, key, doc, row, start, n."""
+
+    TYPES = np.int8, np.int64, np.int64, np.int64, np.int64, np.int64
 
     def __init__(self, *columns: np.ndarray) -> None:
-        self.columns = columns
+        self.kind, self.key, self.doc, self.row, self.start, self.n = self.columns = columns
+
+    @classmethod
+    def of(cls, kind: int, *columns: np.ndarray) -> Rows:
+        """Of one kind; ``columns`` from the key on."""
+        return cls(np.full(len(columns[0]), kind, np.int8), *columns)
 
     @classmethod
     def joined(cls, parts: list[Rows]) -> Rows:
-        return cls(*(np.concatenate(x) for x in zip(*(p.columns for p in parts), strict=True))) if parts else cls(*(np.zeros(0, t) for t in TYPES))
+        return cls(*(np.concatenate(x) for x in zip(*(p.columns for p in parts), strict=True))) if parts else cls(*(np.zeros(0, t) for t in cls.TYPES))
 
     def __len__(self) -> int:
-        return len(self.columns[0])
+        return len(self.key)
 
     def take(self, at: np.ndarray) -> Rows:
         return Rows(*(c[at] for c in self.columns))
 
-    def ordered(self) -> Rows:
-        kind, key, cls, doc, row, start, _ = self.columns
-        return self.take(np.lexsort((start, row, doc, cls, key)))
-
-    def marked(self, kind: int) -> Rows:
-        return Rows(np.full(len(self), kind, np.int32), *self.columns[1:])
-
-    def plain(self) -> pa.RecordBatch:
-        """SCHEMA: without the class."""
-        kind, key, _, doc, row, start, n = self.columns
-        types = pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()
-        return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip((kind, key, doc, row, start, n), types, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+    def merged(self) -> Rows:
+        """In text order, neighbouring stretches of one kind as one."""
+        rows = self.take(np.lexsort((self.start, self.row, self.doc, self.kind)))
+        if not len(rows):
+            return rows
+        new = _runs(rows.kind, rows.doc, rows.row)
+        stop = rows.start + rows.n
+        new[1:] |= rows.start[1:] > stop[:-1]
+        first = np.flatnonzero(new)
+        upto = np.maximum.reduceat(stop, first)
+        rows = rows.take(first)
+        return Rows(*rows.columns[:5], upto - rows.start)
+
+    def plain(self, salts: np.ndarray | int = 1) -> pa.RecordBatch:
+        """SCHEMA."""
+        columns = [*self.columns, np.broadcast_to(np.asarray(salts), len(self))]
+        types = pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()
+        return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     def block(self, tail: bytes = b"") -> bytes:
-        """Keys and classes as they are, the rest as differences in text order under zstd, then ``tail``."""
-        kind, key, cls, doc, row, start, n = self.columns
-        rest = np.diff(doc, prepend=0).tobytes() + row.tobytes() + np.diff(start, prepend=0).tobytes() + n.astype(np.int32).tobytes() + kind.astype(np.int32).tobytes()
-        packed = zstandard.compress(rest + tail, 3)
-        return len(self).to_bytes(4, "little") + key.tobytes() + cls.tobytes() + packed
+        """Keys as they are, the rest as differences in text order under zstd, then ``tail``."""
+        rest = np.diff(self.doc, prepend=0).tobytes() + self.row.tobytes() + np.diff(self.start, prepend=0).tobytes() + self.n.tobytes() + self.kind.tobytes()
+        return len(self).to_bytes(4, "little") + self.key.tobytes() + zstandard.compress(rest + tail, 3)
 
     @classmethod
     def unblock(cls, raw: bytes) -> tuple[Rows, bytes]:
         k = int.from_bytes(raw[:4], "little")
-        key, own = (np.frombuffer(raw, np.int64, k, 4 + 8 * k * i) for i in range(2))
-        rest = zstandard.decompress(raw[4 + 16 * k :])
-        doc, row, start = (np.frombuffer(rest, np.int64, k, 8 * k * i) for i in range(3))
-        n, kind = (np.frombuffer(rest, np.int32, k, 24 * k + 4 * k * i) for i in range(2))
-        return cls(kind, key, own, np.cumsum(doc), row, np.cumsum(start), n), rest[32 * k :]
+        rest = zstandard.decompress(raw[4 + 8 * k :])
+        doc, row, start, n = (np.frombuffer(rest, np.int64, k, 8 * k * i) for i in range(4))
+        return cls(np.frombuffer(rest, np.int8, k, 32 * k), np.frombuffer(raw, np.int64, k, 4), np.cumsum(doc), row, np.cumsum(start), n), rest[33 * k :]
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return (_mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _blocks(rows: Rows, buckets: int) -> Iterator[pa.RecordBatch]:
-    """BLOCKS of rows by the bucket of their key, each in text order."""
-    where = _bucket(rows.columns[1], buckets)
-    _, _, _, doc, row, start, _ = rows.columns
-    order = np.lexsort((start, row, doc, where))
+def _blocks(rows: Rows, where: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """BLOCKS of rows by their bucket, each in text order."""
+    order = np.lexsort((rows.start, rows.row, rows.doc, where))
     rows, where = rows.take(order), where[order]
     cuts = np.append(np.flatnonzero(_runs(where)), len(where))
-    parts = [(int(where[a]), rows.take(np.arange(a, b)).block()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    yield from _batches(parts)
+    yield from _batches([(int(where[a]), rows.take(np.arange(a, b)).block()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
 
 def _batches(parts: list[tuple[int, bytes]], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     held: list[tuple[int, bytes]] = []
+    size = 0
     for part in [*parts, None]:
-        if held and (part is None or sum(len(x[1]) for x in held[-256:]) > most or len(held) >= 2048):
+        if held and (part is None or size > most or len(held) >= 2048):
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int32()), pa.array([x[1] for x in held], pa.binary())], names=["bucket", "block"])
-            held = []
+            held, size = [], 0
         if part is not None:
             held.append(part)
+            size += len(part[1])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
@@ -229,161 +267,161 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         yield held
 
 
-def settle(rows: Rows, mixed: bool) -> list[Rows]:
-    """Rows that ask, one for each class; and what is done: all but the first of a class.
-
-    mixed: leave out the asking rows of anchors with more than HOT classes; they are requests at once, and a mark is left.
-    """
-    rows = rows.ordered()
-    _, key, cls, doc, row, start, _ = rows.columns
-    first = _runs(key, cls)
+def settled(rows: Rows, cls: np.ndarray, place: np.ndarray, raw: bytes) -> Rows:
+    """Rows that ask, and what is done: stretches with the bytes of an earlier one; ``place``: where each begins in ``raw``."""
+    order = np.lexsort((rows.start, rows.row, rows.doc, cls, rows.key))
+    rows, cls, place = rows.take(order), cls[order], place[order]
+    first = _runs(rows.key, cls)
     lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+    later = np.flatnonzero(~first)
+    size = rows.n + LENGTH - 1
+    equal = np.zeros(len(rows), bool)
+    equal[later] = np.fromiter((raw[a : a + k] == raw[b : b + m] for a, k, b, m in zip(place[later].tolist(), size[later].tolist(), place[lead[later]].tolist(), size[lead[later]].tolist(), strict=True)), bool, len(later))
     # The same place twice is a repeated row, not a later copy.
-    same = (doc == doc[lead]) & (row == row[lead]) & (start == start[lead])
-    out = [rows.take(~same).marked(DONE)]
-    rows = rows.take(first)
-    if mixed:
-        key = rows.columns[1]
-        new = _runs(key)
-        group = np.cumsum(new) - 1
-        hot = (np.bincount(group) > HOT)[group] if len(rows) else np.zeros(0, bool)
-        if hot.any():
-            out += [rows.take(hot).marked(HOT_REQUEST), rows.take(hot & new).marked(MARK)]
-            rows = rows.take(~hot)
-    return [*out, rows]
-
-
-def first_level(docs: DataFrame, buckets: int) -> DataFrame:
-    """Requests and finished stretches (SCHEMA) of ``docs(doc, row, text)``."""
+    same = (rows.doc == rows.doc[lead]) & (rows.row == rows.row[lead]) & (rows.start == rows.start[lead])
+    done = rows.take(equal & ~same)
+    return Rows.joined([Rows.of(DONE, *done.columns[1:]).merged(), rows.take(~equal)])
+
+
+def anchored(docs: DataFrame, buckets: int, gram: int, bits: int, hot: int, segment: int, chunk: int) -> DataFrame:
+    """SCHEMA of ``docs(doc, row, text)``, or of its windows in ``spans(start, n)``: what is done, and the stretches of anchors
+    that stand more than once (REQUEST), with the number of groups of a hot anchor in ``salts``."""
+    spanned = "spans" in docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Rows] = []
-        size = 0
+        todo: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        raws: list[bytes] = []
+        filled = size = 0
+
+        def anchor() -> None:
+            nonlocal todo, filled, size
+            raw = b"".join(t[3] for t in todo)
+            ends = np.cumsum([len(t[3]) for t in todo])
+            start, n, key, cls = stretches(np.frombuffer(raw, np.uint8), ends, gram, bits)
+            which = np.searchsorted(ends, start, "right")
+            doc, row, off = (np.array([t[i] for t in todo], np.int64)[which] for i in range(3))
+            held.append((key.view(np.int64), doc, row, start - np.concatenate([[0], ends[:-1]])[which] + off, n, cls, start + size))
+            raws.append(raw)
+            size += len(raw)
+            todo, filled = [], 0
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            nonlocal held, raws, size
+            key, doc, row, start, n, cls, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            rows = settled(Rows.of(ASK, key, doc, row, start, n), cls, place, b"".join(raws))
+            held, raws, size = [], [], 0
+            yield from _blocks(rows, np.where(rows.kind == ASK, _bucket(rows.key, buckets), _bucket(rows.doc, buckets)))
+
         for batch in batches:
-            doc, row = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "row"))
-            texts = batch.column("text").cast(pa.binary())
-            todo: list[tuple[int, int, bytes]] = []
-            filled = 0
-            for k in range(batch.num_rows + 1):
-                raw = texts[k].as_py() if k < batch.num_rows else b""
-                if k < batch.num_rows and len(raw) < LENGTH:
-                    continue
-                for at in range(0, max(1, len(raw) - LENGTH + 1), SEGMENT):
-                    part = raw[at : at + SEGMENT + LENGTH - 1]
-                    if todo and (filled + len(part) > SEGMENT + LENGTH or k == batch.num_rows):
-                        ends = np.cumsum([len(p) for _, _, p in todo])
-                        start, n, anchor, cls = stretches(np.frombuffer(b"".join(p for _, _, p in todo), np.uint8), ends)
-                        which = np.searchsorted(ends, start, "right")
-                        own, off = np.array([t[0] for t in todo])[which], np.array([t[1] for t in todo])[which]
-                        begins = np.concatenate([[0], ends[:-1]])[which]
-                        held.append(Rows(np.zeros(len(start), np.int32), anchor.view(np.int64), cls.view(np.int64), doc[own], row[own], start - begins + off, n.astype(np.int32)))
-                        size, todo, filled = size + filled, [], 0
-                    if part:
-                        todo.append((k, at, part))
-                        filled += len(part)
-            if size >= CHUNK:
-                yield from _blocks(Rows.joined(settle(Rows.joined(held), True)), buckets)
-                held, size = [], 0
+            spans = batch.column("spans") if spanned else [None] * batch.num_rows
+            for doc, row, text, span in zip(batch.column("doc").to_pylist(), batch.column("row").to_pylist(), batch.column("text"), spans, strict=True):
+                raw = text.as_py().encode()
+                parts = [(0, len(raw) - LENGTH + 1)] if span is None else [(s["start"], s["start"] + s["n"]) for s in span.as_py()]
+                for low, high in parts:
+                    for at in range(low, high, segment):
+                        piece = raw[at : min(at + segment, high) + LENGTH - 1]
+                        if todo and filled + len(piece) > segment + LENGTH:
+                            anchor()
+                        todo.append((doc, row, at, piece))
+                        filled += len(piece)
+                        if size + filled >= chunk:
+                            anchor()
+                            yield from settle()
+        if todo:
+            anchor()
         if held:
-            yield from _blocks(Rows.joined(settle(Rows.joined(held), True)), buckets)
+            yield from settle()
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blocks in _buckets(batches):
             rows = Rows.joined([Rows.unblock(b)[0] for b in blocks])
-            kind = rows.columns[0]
-            yield rows.take((kind == HOT_REQUEST) | (kind == DONE)).plain()
-            marks = np.unique(rows.columns[1][kind == MARK])
-            done, firsts = settle(rows.take(kind == ASK), False)
-            yield done.plain()
-            key = firsts.columns[1]
-            group = np.cumsum(_runs(key)) - 1
-            many = np.bincount(group)[group] if len(key) else np.zeros(0, np.int64)
-            hot = np.isin(key, marks) | (many > HOT_IN_ALL)
-            yield firsts.take(hot).marked(HOT_REQUEST).plain()
-            yield firsts.take(~hot & (many > 1)).marked(REQUEST).plain()
+            yield rows.take(rows.kind == DONE).plain()
+            rows = rows.take(rows.kind == ASK)
+            _, group, many = np.unique(rows.key, return_inverse=True, return_counts=True)
+            again = np.flatnonzero(many[group] > 1)
+            again = again[np.lexsort((rows.start[again], rows.row[again], rows.doc[again]))]
+            rows = rows.take(again)
+            yield Rows.of(REQUEST, *rows.columns[1:]).plain(-(-many[group][again] // hot))
 
     return docs.mapInArrow(cut, BLOCKS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(decide, SCHEMA)
 
 
-def _windows(raw: np.ndarray, at: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> Rows:
-    """Rows of the windows that begin at ``at`` in ``raw``."""
-    one, two = Prefix(raw, 0).of(at, at + LENGTH), Prefix(raw, 1).of(at, at + LENGTH)
-    k = len(at)
-    return Rows(np.zeros(k, np.int32), one.view(np.int64), two.view(np.int64), doc, row, start, np.ones(k, np.int32))
-
+def compared(asked: DataFrame, buckets: int, array: int) -> DataFrame:
+    """What is done, and what hot anchors leave (LEFT), of ``asked(doc, row, text, spans)``: spans are requested stretches."""
 
-def _each(n: np.ndarray) -> np.ndarray:
-    """0 .. n-1 for every n."""
-    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-
-
-def second_level(asked: DataFrame, buckets: int) -> DataFrame:
-    """Finished windows (doc, row, start, n) of ``asked(doc, row, text, spans)``: spans are the stretches in question."""
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Stretches with their bytes, by the bucket of their anchor and, where that is hot, of their group."""
+        held: list[Rows] = []
+        texts: list[bytes] = []
+        size = 0
 
-    def cold(held: list[tuple[np.ndarray, ...]], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        """Stretches by the bucket of their anchor, their bytes with them."""
-        key, doc, row, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        where = _bucket(key, buckets)
-        order = np.argsort(where, kind="stable")
-        cuts = np.append(np.flatnonzero(_runs(where[order])), len(order))
-        parts = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own = order[a:b]
-            rows = Rows(np.full(len(own), REQUEST, np.int32), key[own], key[own], doc[own], row[own], start[own], n[own].astype(np.int32))
-            parts.append((int(where[own[0]]), rows.block(b"".join(texts[i] for i in own.tolist()))))
-        yield from _batches(parts)
+        def emit() -> Iterator[pa.RecordBatch]:
+            nonlocal held, texts, size
+            rows = Rows.joined(held)
+            where = _bucket(rows.key, buckets)
+            order = np.argsort(where, kind="stable")
+            cuts = np.append(np.flatnonzero(_runs(where[order])), len(order))
+            yield from _batches([(int(where[order[a]]), rows.take(order[a:b]).block(b"".join(texts[i] for i in order[a:b].tolist()))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+            held, texts, size = [], [], 0
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stretched, texts, hot, size = [], [], [], 0
-        for batch in [*batches, None]:
-            if batch is None or size > 24 << 20 or sum(map(len, hot)) > 1_500_000:
-                if stretched:
-                    yield from cold(stretched, texts)
-                if hot:
-                    yield from _blocks(Rows.joined([x for x in settle(Rows.joined(hot), False)]), buckets)
-                stretched, texts, hot, size = [], [], [], 0
-            if batch is None:
-                return
-            for doc, row, text, spans in zip(*(batch.column(c) for c in ("doc", "row", "text", "spans")), strict=True):
+        for batch in batches:
+            for doc, row, text, spans in zip(batch.column("doc").to_pylist(), batch.column("row").to_pylist(), batch.column("text"), batch.column("spans"), strict=True):
                 raw = text.as_py().encode()
-                start, n, key, kind = (spans.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "key", "kind"))
-                size += len(raw)
-                c = np.flatnonzero(kind == REQUEST)
-                stretched.append((key[c], np.full(len(c), doc.as_py()), np.full(len(c), row.as_py()), start[c], n[c]))
-                texts += [raw[a : a + k + LENGTH - 1] for a, k in zip(start[c].tolist(), n[c].tolist(), strict=True)]
-                c = np.flatnonzero(kind == HOT_REQUEST)
-                for a, k in zip(start[c].tolist(), n[c].tolist(), strict=True):
-                    own = np.frombuffer(raw[a : a + k + LENGTH - 1], np.uint8)
-                    at = np.arange(k)
-                    hot.append(_windows(own, at, np.full(k, doc.as_py()), np.full(k, row.as_py()), a + at))
+                start, n, key, salts = (spans.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n", "key", "salts"))
+                own = np.full(len(start), doc, np.int64), np.full(len(start), row, np.int64)
+                salt = _mix(own[0].view(np.uint64) ^ _mix(own[1].view(np.uint64) + start.view(np.uint64))) % salts.view(np.uint64)
+                held.append(Rows(np.where(salts > 1, SHARED, REQUEST).astype(np.int8), _mix(key.view(np.uint64) + _mix(salt)).view(np.int64), *own, start, n))
+                texts += [raw[a : a + k + LENGTH - 1] for a, k in zip(start.tolist(), n.tolist(), strict=True)]
+                size += int(n.sum()) + len(n) * (LENGTH + 60)
+                if size >= CHUNK:
+                    yield from emit()
+        if held:
+            yield from emit()
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blocks in _buckets(batches):
-            asks, done = [], []
+            parts, pieces = [], []
             for block in blocks:
                 rows, tail = Rows.unblock(block)
-                kind, _, _, doc, row, start, n = rows.columns
-                if not (kind == REQUEST).any():
-                    done.append(rows.take(kind == DONE))
-                    asks.append(rows.take(kind == ASK))
-                    continue
-                n = n.astype(np.int64)
+                ends = np.cumsum(rows.n + LENGTH - 1).tolist()
+                pieces += [tail[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                parts.append(rows)
+            rows = Rows.joined(parts)
+            order = np.lexsort((rows.start, rows.row, rows.doc, rows.key))
+            rows = rows.take(order)
+            pieces = [pieces[i] for i in order.tolist()]
+            # Different stretches of a group, each where it stands first; the others are done, but for repeated rows.
+            seen: dict[tuple[int, bytes], int] = {}
+            lead = np.fromiter((seen.setdefault((k, p), i) for i, (k, p) in enumerate(zip(rows.key.tolist(), pieces, strict=True))), np.int64, len(rows))
+            del seen
+            later = lead < np.arange(len(rows))
+            same = (rows.doc == rows.doc[lead]) & (rows.row == rows.row[lead]) & (rows.start == rows.start[lead])
+            out = [Rows.of(DONE, *rows.take(later & ~same).columns[1:])]
+            firsts = np.flatnonzero(~later)
+            group = np.cumsum(_runs(rows.key[firsts])) - 1
+            many = np.bincount(group)[group] if len(firsts) else group
+            out.append(Rows.of(LEFT, *rows.take(firsts[(many == 1) & (rows.kind[firsts] == SHARED)]).columns[1:]))
+            firsts, group = firsts[many > 1], group[many > 1]
+            low, upto = 0, np.cumsum(rows.n[firsts] + LENGTH - 1)
+            while low < len(firsts):  # whole groups under one array, as many as fit
+                high = max(int(np.searchsorted(upto, upto[low] + array)), low + 1)
+                high = int(np.searchsorted(group, group[high - 1], "right")) if group[high - 1] == group[low] else int(np.searchsorted(group, group[high - 1], "left" if high < len(firsts) else "right"))
+                some = firsts[low:high]
+                some = some[np.lexsort((rows.start[some], rows.row[some], rows.doc[some]))]
+                n = rows.n[some]
                 size = n + LENGTH - 1
-                at = np.repeat(np.cumsum(size) - size, n) + _each(n)
-                w = _windows(np.frombuffer(tail, np.uint8), at, np.repeat(doc, n), np.repeat(row, n), np.repeat(start, n) + _each(n))
-                asks.append(Rows(*w.columns[:2], w.columns[2].view(np.uint64).__rshift__(np.uint64(32)).astype(np.int64), *w.columns[3:]))
-            gone = Rows.joined([*done, settle(Rows.joined(asks), False)[0]]).columns
-            # Neighbouring windows become one stretch again.
-            order = np.lexsort((gone[5], gone[4], gone[3]))
-            doc, row, start = gone[3][order], gone[4][order], gone[5][order]
-            if len(doc):
-                new = _runs(doc, row) | np.append(True, start[1:] > start[:-1] + 1)
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(doc)) - 1
-                n = (start[last] - start[first] + 1).astype(np.int32)
-                yield Rows(np.full(len(first), DONE, np.int32), start[first], start[first], doc[first], row[first], start[first], n).plain()
-
-    return asked.mapInArrow(gather, BLOCKS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(decide, SCHEMA).select("doc", "row", "start", "n")
+                own = np.repeat(np.arange(len(some)), n)
+                inside = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+                gone = previous_factors(np.frombuffer(b"".join(pieces[i] for i in some.tolist()), np.uint8), np.repeat(np.cumsum(size) - size, n) + inside) >= LENGTH
+                kept = gone | (rows.kind[some] == SHARED)[own]
+                own, inside, gone = own[kept], inside[kept], gone[kept]
+                windows = rows.take(some[own])
+                out.append(Rows(np.where(gone, DONE, LEFT).astype(np.int8), *windows.columns[1:4], windows.start + inside, np.ones(len(own), np.int64)).merged())
+                low = high
+            yield Rows.joined(out).merged().plain()
+
+    return asked.mapInArrow(gather, BLOCKS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(decide, SCHEMA).select("kind", "doc", "row", "start", "n")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -397,18 +435,39 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.join(many, docs.doc_id.eqNullSafe(many._id), "left").select(doc, F.when(F.col("_again"), F.xxhash64(text)).otherwise(F.lit(0)).alias("row"), text)
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs(doc_id, text)``."""
-    spark = docs.sparkSession
-    common.small_batches(spark)
+def repeated(rows: DataFrame, grams: tuple[int, ...] = GRAMS, bits: int = 64, hot: int = HOT, segment: int = SEGMENT, chunk: int = CHUNK, array: int = ARRAY) -> list[DataFrame]:
+    """Tables (doc, row, start, n) of the windows of ``rows(doc, row, text)`` that also start earlier."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out, long = [], rows.where(F.octet_length("text") >= LENGTH)
+    todo, size = long, long.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    for k, gram in enumerate(grams):
+        level = common.written(anchored(todo, max(parts, math.ceil(size / ANCHORED)), gram, bits, hot if k < len(grams) - 1 else 1 << 40, segment, chunk))
+        common.release(spark)
+        out.append(level.where(F.col("kind") == DONE).select("doc", "row", "start", "n"))
+        asks = level.where(F.col("kind") == REQUEST)
+        size = asks.agg(F.sum(F.col("n") + LENGTH - 1)).first()[0] or 0
+        if not size:
+            break
+        asked = asks.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n", "key", "salts")).alias("spans"))
+        late = common.written(compared(long.join(asked, ["doc", "row"]).select("doc", "row", "text", "spans"), max(parts, math.ceil(size / STRETCHED)), array))
+        common.release(spark)
+        out.append(late.where(F.col("kind") == DONE).select("doc", "row", "start", "n"))
+        left = late.where(F.col("kind") == LEFT)
+        size = left.agg(F.sum(F.col("n") + LENGTH - 1)).first()[0] or 0
+        if not size:
+            break
+        todo = long.join(left.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans")), ["doc", "row"])
+    return out
+
+
+def removed(docs: DataFrame, **limits) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs(doc_id, text)``; ``limits`` of ``repeated``."""
+    common.small_batches(docs.sparkSession)
     rows = numbered(docs.select("doc_id", "text"))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    level = common.written(first_level(rows.where(F.octet_length("text") >= LENGTH), buckets))
-    common.release(spark)
-    dealt = rows.repartition("doc", "row")  # both joins read it with the same columns: it is moved once
-    asked = level.where(F.col("kind").isin(REQUEST, HOT_REQUEST)).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n", "key", "kind")).alias("spans"))
-    late = second_level(dealt.join(asked, ["doc", "row"]).select("doc", "row", "text", "spans"), buckets)
-    done = level.where(F.col("kind") == DONE).select("doc", "row", "start", "n").union(late)
+    done = None
+    for part in repeated(rows, **limits):
+        done = part if done is None else done.union(part)
     gone = done.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,7 +489,7 @@ def removed(docs: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    whole = dealt.join(gone, ["doc", "row"], "left").select("doc", "row", "text", "spans")
+    whole = rows.join(gone, ["doc", "row"], "left").select("doc", "row", "text", "spans")
     out = whole.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
