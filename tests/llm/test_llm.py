@@ -301,7 +301,7 @@ def test_substrings_with_repeated_and_null_ids(spark):
 
 
 def test_blocks_travel_whole():
-    columns = [0, 1], [7 << 40, -7], [1, 2], [0, 5], [3, 0], [9, 76]
+    columns = [0, 1], [7 << 40, -7], [1, 2], [0, 5], [0, 3], [3, 0], [9, 76]
     rows = substrings.Rows(*(np.array(c, t) for c, t in zip(columns, substrings.Rows.TYPES, strict=True)))
     back, tail = substrings.Rows.unblock(rows.block(b"tail"))
     assert [c.tolist() for c in back.columns] == [*map(list, columns)] and tail == b"tail"

@@ -14,8 +14,9 @@ of windows that can be equal at all, which are found first:
    previous factors of all windows follow.
 
 Hashes only say what can be equal; every byte that is removed has been compared.  An anchor with more than ``HOT`` stretches
-is dealt to groups of about that many.  What is repeated inside a group is settled there; the windows that are left meet
-again by anchors of a longer gram (at last the whole window), so that no task holds a group that grows with the corpus.
+is dealt to groups of about that many.  What is repeated inside a group is settled there; the windows that are left, bytes of
+their own and no longer the corpus, meet again by anchors of a longer gram (at last the whole window), so that no task holds
+a group that grows with the corpus.
 Rows travel packed in column blocks, in text order, one for each task and bucket; the number of buckets follows the text.
 
 Defined cases: a null text is empty; texts under ``LENGTH`` bytes lose nothing; of rows with one id, those with different
@@ -45,7 +46,8 @@ SEGMENT, CHUNK, ANCHORED, STRETCHED, ARRAY, HOT = 1 << 20, 10 << 20, 16 << 20, 6
 #: Stands for a null id: before all others.
 NO_ID = -(2**63)
 ASK, DONE, REQUEST, SHARED, LEFT = range(5)
-SCHEMA = "kind int, key long, doc long, row long, start long, n int, salts int"
+SCHEMA = "kind int, key long, doc long, row long, base long, start long, n int, salts int"
+FOUND = "kind int, doc long, row long, start long, n int, raw binary"
 BLOCKS = "bucket int, block binary"
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASES = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
@@ -175,12 +177,12 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 
 
 class Rows:
-    """Columns kind, key, doc, row, start, n."""
+    """Columns kind, key, doc, row, base (where the piece of text begins in its document), start, n."""
 
-    TYPES = np.int8, np.int64, np.int64, np.int64, np.int64, np.int64
+    TYPES = np.int8, *[np.int64] * 6
 
     def __init__(self, *columns: np.ndarray) -> None:
-        self.kind, self.key, self.doc, self.row, self.start, self.n = self.columns = columns
+        self.kind, self.key, self.doc, self.row, self.base, self.start, self.n = self.columns = columns
 
     @classmethod
     def of(cls, kind: int, *columns: np.ndarray) -> Rows:
@@ -208,25 +210,25 @@ class Rows:
         first = np.flatnonzero(new)
         upto = np.maximum.reduceat(stop, first)
         rows = rows.take(first)
-        return Rows(*rows.columns[:5], upto - rows.start)
+        return Rows(*rows.columns[:6], upto - rows.start)
 
     def plain(self, salts: np.ndarray | int = 1) -> pa.RecordBatch:
         """SCHEMA."""
         columns = [*self.columns, np.broadcast_to(np.asarray(salts), len(self))]
-        types = pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()
+        types = pa.int32(), *[pa.int64()] * 5, pa.int32(), pa.int32()
         return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     def block(self, tail: bytes = b"") -> bytes:
         """Keys as they are, the rest as differences in text order under zstd, then ``tail``."""
-        rest = np.diff(self.doc, prepend=0).tobytes() + self.row.tobytes() + np.diff(self.start, prepend=0).tobytes() + self.n.tobytes() + self.kind.tobytes()
+        rest = b"".join(x.tobytes() for x in (np.diff(self.doc, prepend=0), self.row, np.diff(self.base, prepend=0), np.diff(self.start, prepend=0), self.n, self.kind))
         return len(self).to_bytes(4, "little") + self.key.tobytes() + zstandard.compress(rest + tail, 3)
 
     @classmethod
     def unblock(cls, raw: bytes) -> tuple[Rows, bytes]:
         k = int.from_bytes(raw[:4], "little")
         rest = zstandard.decompress(raw[4 + 8 * k :])
-        doc, row, start, n = (np.frombuffer(rest, np.int64, k, 8 * k * i) for i in range(4))
-        return cls(np.frombuffer(rest, np.int8, k, 32 * k), np.frombuffer(raw, np.int64, k, 4), np.cumsum(doc), row, np.cumsum(start), n), rest[33 * k :]
+        doc, row, base, start, n = (np.frombuffer(rest, np.int64, k, 8 * k * i) for i in range(5))
+        return cls(np.frombuffer(rest, np.int8, k, 40 * k), np.frombuffer(raw, np.int64, k, 4), np.cumsum(doc), row, np.cumsum(base), np.cumsum(start), n), rest[41 * k :]
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -284,50 +286,45 @@ def settled(rows: Rows, cls: np.ndarray, place: np.ndarray, raw: bytes) -> Rows:
 
 
 def anchored(docs: DataFrame, buckets: int, gram: int, bits: int, hot: int, segment: int, chunk: int) -> DataFrame:
-    """SCHEMA of ``docs(doc, row, text)``, or of its windows in ``spans(start, n)``: what is done, and the stretches of anchors
-    that stand more than once (REQUEST), with the number of groups of a hot anchor in ``salts``."""
-    spanned = "spans" in docs.columns
+    """SCHEMA of ``docs(doc, row, base, text)``: what is done, and the stretches of anchors that stand more than once (REQUEST),
+    with the number of groups of a hot anchor in ``salts``.  ``text``: bytes of the document from ``base`` on."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        todo: list[tuple[int, int, int, bytes]] = []
+        todo: list[tuple[int, int, int, int, bytes]] = []
         held: list[tuple[np.ndarray, ...]] = []
         raws: list[bytes] = []
         filled = size = 0
 
         def anchor() -> None:
             nonlocal todo, filled, size
-            raw = b"".join(t[3] for t in todo)
-            ends = np.cumsum([len(t[3]) for t in todo])
+            raw = b"".join(t[4] for t in todo)
+            ends = np.cumsum([len(t[4]) for t in todo])
             start, n, key, cls = stretches(np.frombuffer(raw, np.uint8), ends, gram, bits)
             which = np.searchsorted(ends, start, "right")
-            doc, row, off = (np.array([t[i] for t in todo], np.int64)[which] for i in range(3))
-            held.append((key.view(np.int64), doc, row, start - np.concatenate([[0], ends[:-1]])[which] + off, n, cls, start + size))
+            doc, row, base, off = (np.array([t[i] for t in todo], np.int64)[which] for i in range(4))
+            held.append((key.view(np.int64), doc, row, base, start - np.concatenate([[0], ends[:-1]])[which] + off, n, cls, start + size))
             raws.append(raw)
             size += len(raw)
             todo, filled = [], 0
 
         def settle() -> Iterator[pa.RecordBatch]:
             nonlocal held, raws, size
-            key, doc, row, start, n, cls, place = (np.concatenate(x) for x in zip(*held, strict=True))
-            rows = settled(Rows.of(ASK, key, doc, row, start, n), cls, place, b"".join(raws))
+            *columns, cls, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            rows = settled(Rows.of(ASK, *columns), cls, place, b"".join(raws))
             held, raws, size = [], [], 0
             yield from _blocks(rows, np.where(rows.kind == ASK, _bucket(rows.key, buckets), _bucket(rows.doc, buckets)))
 
         for batch in batches:
-            spans = batch.column("spans") if spanned else [None] * batch.num_rows
-            for doc, row, text, span in zip(batch.column("doc").to_pylist(), batch.column("row").to_pylist(), batch.column("text"), spans, strict=True):
-                raw = text.as_py().encode()
-                parts = [(0, len(raw) - LENGTH + 1)] if span is None else [(s["start"], s["start"] + s["n"]) for s in span.as_py()]
-                for low, high in parts:
-                    for at in range(low, high, segment):
-                        piece = raw[at : min(at + segment, high) + LENGTH - 1]
-                        if todo and filled + len(piece) > segment + LENGTH:
-                            anchor()
-                        todo.append((doc, row, at, piece))
-                        filled += len(piece)
-                        if size + filled >= chunk:
-                            anchor()
-                            yield from settle()
+            for doc, row, base, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "row", "base", "text")), strict=True):
+                for at in range(0, len(text) - LENGTH + 1, segment):
+                    piece = text[at : at + segment + LENGTH - 1]
+                    if todo and filled + len(piece) > segment + LENGTH:
+                        anchor()
+                    todo.append((doc, row, base, base + at, piece))
+                    filled += len(piece)
+                    if size + filled >= chunk:
+                        anchor()
+                        yield from settle()
         if todo:
             anchor()
         if held:
@@ -348,7 +345,8 @@ def anchored(docs: DataFrame, buckets: int, gram: int, bits: int, hot: int, segm
 
 
 def compared(asked: DataFrame, buckets: int, array: int) -> DataFrame:
-    """What is done, and what hot anchors leave (LEFT), of ``asked(doc, row, text, spans)``: spans are requested stretches."""
+    """FOUND of ``asked(doc, row, base, text, spans)``, spans being requested stretches: what is done, and what hot anchors leave
+    (LEFT), with its bytes."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Stretches with their bytes, by the bucket of their anchor and, where that is hot, of their group."""
@@ -366,13 +364,12 @@ def compared(asked: DataFrame, buckets: int, array: int) -> DataFrame:
             held, texts, size = [], [], 0
 
         for batch in batches:
-            for doc, row, text, spans in zip(batch.column("doc").to_pylist(), batch.column("row").to_pylist(), batch.column("text"), batch.column("spans"), strict=True):
-                raw = text.as_py().encode()
+            for doc, row, base, raw, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "row", "base", "text")), batch.column("spans"), strict=True):
                 start, n, key, salts = (spans.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n", "key", "salts"))
-                own = np.full(len(start), doc, np.int64), np.full(len(start), row, np.int64)
+                own = tuple(np.full(len(start), x, np.int64) for x in (doc, row, base))
                 salt = _mix(own[0].view(np.uint64) ^ _mix(own[1].view(np.uint64) + start.view(np.uint64))) % salts.view(np.uint64)
                 held.append(Rows(np.where(salts > 1, SHARED, REQUEST).astype(np.int8), _mix(key.view(np.uint64) + _mix(salt)).view(np.int64), *own, start, n))
-                texts += [raw[a : a + k + LENGTH - 1] for a, k in zip(start.tolist(), n.tolist(), strict=True)]
+                texts += [raw[a : a + k + LENGTH - 1] for a, k in zip((start - base).tolist(), n.tolist(), strict=True)]
                 size += int(n.sum()) + len(n) * (LENGTH + 60)
                 if size >= CHUNK:
                     yield from emit()
@@ -401,12 +398,14 @@ def compared(asked: DataFrame, buckets: int, array: int) -> DataFrame:
             firsts = np.flatnonzero(~later)
             group = np.cumsum(_runs(rows.key[firsts])) - 1
             many = np.bincount(group)[group] if len(firsts) else group
-            out.append(Rows.of(LEFT, *rows.take(firsts[(many == 1) & (rows.kind[firsts] == SHARED)]).columns[1:]))
+            alone = firsts[(many == 1) & (rows.kind[firsts] == SHARED)]
+            left = [(rows.take(alone), [pieces[i] for i in alone.tolist()])]
             firsts, group = firsts[many > 1], group[many > 1]
             low, upto = 0, np.cumsum(rows.n[firsts] + LENGTH - 1)
             while low < len(firsts):  # whole groups under one array, as many as fit
                 high = max(int(np.searchsorted(upto, upto[low] + array)), low + 1)
-                high = int(np.searchsorted(group, group[high - 1], "right")) if group[high - 1] == group[low] else int(np.searchsorted(group, group[high - 1], "left" if high < len(firsts) else "right"))
+                whole = high == len(firsts) or group[high - 1] == group[low]
+                high = int(np.searchsorted(group, group[high - 1], "right" if whole else "left"))
                 some = firsts[low:high]
                 some = some[np.lexsort((rows.start[some], rows.row[some], rows.doc[some]))]
                 n = rows.n[some]
@@ -414,14 +413,25 @@ def compared(asked: DataFrame, buckets: int, array: int) -> DataFrame:
                 own = np.repeat(np.arange(len(some)), n)
                 inside = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
                 gone = previous_factors(np.frombuffer(b"".join(pieces[i] for i in some.tolist()), np.uint8), np.repeat(np.cumsum(size) - size, n) + inside) >= LENGTH
-                kept = gone | (rows.kind[some] == SHARED)[own]
-                own, inside, gone = own[kept], inside[kept], gone[kept]
-                windows = rows.take(some[own])
-                out.append(Rows(np.where(gone, DONE, LEFT).astype(np.int8), *windows.columns[1:4], windows.start + inside, np.ones(len(own), np.int64)).merged())
+                new = _runs(own, gone) if len(own) else gone
+                first = np.flatnonzero(new)
+                runs = rows.take(some[own[first]])
+                runs = Rows(*runs.columns[:5], runs.start + inside[first], np.diff(np.append(first, len(own))))
+                out.append(Rows.of(DONE, *runs.take(gone[first]).columns[1:]))
+                stay = np.flatnonzero(~gone[first] & (runs.kind == SHARED))
+                left.append((runs.take(stay), [pieces[some[own[k]]][inside[k] : inside[k] + m + LENGTH - 1] for k, m in zip(first[stay].tolist(), runs.n[stay].tolist(), strict=True)]))
                 low = high
-            yield Rows.joined(out).merged().plain()
+            yield found(DONE, Rows.joined(out).merged(), None)
+            for some, raw in left:
+                if len(some):
+                    yield found(LEFT, some, raw)
+
+    def found(kind: int, rows: Rows, raw: list[bytes] | None) -> pa.RecordBatch:
+        k = len(rows)
+        columns = [pa.array(np.full(k, kind, np.int32)), *map(pa.array, (rows.doc, rows.row, rows.start)), pa.array(rows.n.astype(np.int32)), pa.array(raw or [None] * k, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FOUND.split(", ")])
 
-    return asked.mapInArrow(gather, BLOCKS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(decide, SCHEMA).select("kind", "doc", "row", "start", "n")
+    return asked.mapInArrow(gather, BLOCKS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(decide, FOUND)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -439,25 +449,24 @@ def repeated(rows: DataFrame, grams: tuple[int, ...] = GRAMS, bits: int = 64, ho
     """Tables (doc, row, start, n) of the windows of ``rows(doc, row, text)`` that also start earlier."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out, long = [], rows.where(F.octet_length("text") >= LENGTH)
-    todo, size = long, long.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    out, long = [], rows.where(F.octet_length("text") >= LENGTH).select("doc", "row", F.lit(0).cast("long").alias("base"), F.col("text").cast("binary").alias("text"))
+    size = long.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     for k, gram in enumerate(grams):
-        level = common.written(anchored(todo, max(parts, math.ceil(size / ANCHORED)), gram, bits, hot if k < len(grams) - 1 else 1 << 40, segment, chunk))
+        level = common.written(anchored(long, max(parts, math.ceil(size / ANCHORED)), gram, bits, hot if k < len(grams) - 1 else 1 << 40, segment, chunk))
         common.release(spark)
         out.append(level.where(F.col("kind") == DONE).select("doc", "row", "start", "n"))
         asks = level.where(F.col("kind") == REQUEST)
         size = asks.agg(F.sum(F.col("n") + LENGTH - 1)).first()[0] or 0
         if not size:
             break
-        asked = asks.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n", "key", "salts")).alias("spans"))
-        late = common.written(compared(long.join(asked, ["doc", "row"]).select("doc", "row", "text", "spans"), max(parts, math.ceil(size / STRETCHED)), array))
+        asked = asks.groupBy("doc", "row", "base").agg(F.collect_list(F.struct("start", "n", "key", "salts")).alias("spans"))
+        late = common.written(compared(long.join(asked, ["doc", "row", "base"]).select("doc", "row", "base", "text", "spans"), max(parts, math.ceil(size / STRETCHED)), array))
         common.release(spark)
         out.append(late.where(F.col("kind") == DONE).select("doc", "row", "start", "n"))
-        left = late.where(F.col("kind") == LEFT)
-        size = left.agg(F.sum(F.col("n") + LENGTH - 1)).first()[0] or 0
+        long = late.where(F.col("kind") == LEFT).select("doc", "row", F.col("start").alias("base"), F.col("raw").alias("text"))
+        size = long.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         if not size:
             break
-        todo = long.join(left.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans")), ["doc", "row"])
     return out
 
 
