@@ -27,20 +27,23 @@ def _alternate(s: str) -> list[str]:
     return [*out, now]
 
 
-def matches(pattern: str, groups: int = 0, text: str = "text") -> str:
+def matches(pattern: str, groups: int = 0, text: str = "text", gate: str = "") -> str:
     """SQL for array<struct<s, e, v, g1..>>: code-point start and end, text and groups of every match.
 
-    Spark has no function for positions: the pieces between matches (split) and the matches give them by their lengths.
-    """
+    Spark has no function for positions: the lengths of the matches and of the pieces between them (split) give them, summed
+    in blocks of the square root of their number.  ``gate``: a cheap condition that a text with a match meets."""
     p = quoted(pattern)
     more = "".join(f", regexp_extract_all({text}, {p}, {g}) as g{g}" for g in range(1, groups + 1))
-    gs = "".join(f", x.g{g}[i] as g{g}" for g in range(1, groups + 1))
+    keep = "".join(f", x.g{g} as g{g}" for g in range(1, groups + 1))
+    gs = "".join(f", y.g{g}[i] as g{g}" for g in range(1, groups + 1))
     kinds = "".join(f", g{g}: string" for g in range(1, groups + 1))
     empty = f"cast(array() as array<struct<s: int, e: int, v: string{kinds}>>)"
-    return f"""if(not ({text} rlike {p}), {empty}, transform(array(struct(regexp_extract_all({text}, {p}, 0) as m, split({text}, {p}, -1) as c{more})), x ->
-      aggregate(sequence(0, size(x.m) - 1), struct(0 as at, {empty} as out), (a, i) ->
-        struct(a.at + length(x.c[i]) + length(x.m[i]) as at,
-               concat(a.out, array(struct(a.at + length(x.c[i]) as s, a.at + length(x.c[i]) + length(x.m[i]) as e, x.m[i] as v{gs}))) as out), a -> a.out))[0])"""
+    sums = "transform(sequence(0, cast((size(x.m) - 1) div x.b as int)), k -> aggregate(slice(x.w, k * x.b + 1, x.b), 0, (a, n) -> a + n))"
+    before = "aggregate(slice(y.sums, 1, cast(i div y.b as int)), 0, (a, n) -> a + n) + aggregate(slice(y.w, cast(i div y.b as int) * y.b + 1, cast(i % y.b as int)), 0, (a, n) -> a + n) + length(y.c[i])"
+    return f"""if({f"not ({gate}) or " if gate else ""}not ({text} rlike {p}), {empty}, transform(transform(transform(
+      array(struct(regexp_extract_all({text}, {p}, 0) as m, split({text}, {p}, -1) as c{more})), x -> struct(x.m as m, x.c as c, transform(x.m, (v, i) -> length(v) + length(x.c[i])) as w, cast(ceil(sqrt(size(x.m))) as int) as b{keep})),
+      x -> struct(x.m as m, x.c as c, x.w as w, x.b as b, {sums} as sums{keep})),
+      y -> transform(y.m, (v, i) -> transform(array({before}), at -> struct(at as s, at + length(v) as e, v as v{gs}))[0]))[0])"""
 
 
 def utf16(text: str, at: str) -> Column:
