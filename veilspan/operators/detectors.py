@@ -174,113 +174,6 @@ _HOST_AT = f"m.s + length(m.g1) + 3 + length(m.g2) - length({_HOSTPORT})"
 #: What ends a URL and is not part of it: punctuation, and as many closing parentheses as have no partner.
 _EXCESS = "greatest(0, length(regexp_replace(m.g3, r'[^)]', '')) - length(regexp_replace(m.g3, r'[^(]', '')))"
 _URL_TAIL = "length(regexp_extract(m.g3, concat('(?:[.,;:!?', chr(39), r'\\]}]*\\)){0,', " + _EXCESS + ", '}[.,;:!?', chr(39), r'\\]}]*$'), 0))"
-_URL_TAIL = _URL_TAIL.replace("\\\\", "\\")
-_KEY = r"""(?i)(?<![\w-])["']?(?:gcp[_-]?|google[_-]?)?project(?:[_-]?id)?["']?[ \t]*[:=][ \t]*["']?([a-z][a-z0-9-]{4,28}[a-z0-9])(?![\w-])"""
-URL = r"""(?<![\w+.-])([A-Za-z][A-Za-z0-9+.-]{0,31})://([^\s"'<>`/?#]{1,512})([^\s"'<>`]{0,8192})"""
-POSIX_PATH = r"(?<![\w/.~\\-])(~?/(?:[\w.@+-]{1,255}/){1,64}[\w.@+-]{0,255})"
-WINDOWS_PATH = r"""(?<![\w\\])((?:\\\\\?\\)?[A-Za-z]:[\\/](?:[^\\/:*?"<>|\r\n\t]{1,255}[\\/]){0,64}[^\\/:*?"<>|\r\n\t ]{0,255})"""
-UNC_PATH = r"""(?<![\w\\])(\\\\[\w.-]{1,255}\\[^\\/:*?"<>|\r\n\t ]{1,255}(?:\\[^\\/:*?"<>|\r\n\t ]{1,255}){0,64})"""
-FILE_URL = r"""(?i)(?<![\w+.-])file://(?:localhost)?(/[^\s"'<>`]{1,4096})"""
-ARN = r"""(?<![\w:-])arn:aws(?:-[a-z]{1,10}){0,2}:[a-z0-9-]{1,64}:[a-z0-9-]{0,32}:(\d{12})?:[^\s"'`<>,]{1,1024}"""
-AZURE = rf"""(?i)/subscriptions/({GUID})(?:/resourceGroups/([\w().-]{{1,90}}))?(?:/providers/[^\s"'`<>,]{{1,1024}})?"""
-GCP_PROJECT = r"(?<![\w~.-])projects/([a-z][a-z0-9-]{4,28}[a-z0-9])(?=/(?:zones|locations|global|regions|instances|topics|subscriptions|secrets|datasets|databases|buckets|serviceAccounts|logs|sinks|metrics|jobs)\b)"
-BUCKET_URI = r"(?<![\w+.-])(?:s3a?|s3n|gs|abfss?|wasbs?)://([a-z0-9][a-z0-9._@-]{1,221}[a-z0-9])"
-BUCKET_PATH = r"(?<![\w.-])(?:storage\.googleapis\.com|s3(?:[.-][a-z0-9-]{1,32})?\.amazonaws\.com)/([a-z0-9][a-z0-9._-]{1,221}[a-z0-9])"
-BUCKET_HOST = r"(?<![\w.-])([a-z0-9][a-z0-9.-]{1,61}[a-z0-9])\.(?:s3(?:[.-][a-z0-9-]{1,32})?\.amazonaws\.com|storage\.googleapis\.com|blob\.core\.windows\.net|dfs\.core\.windows\.net)(?![\w-])"
-SERVICE_ACCOUNT = r"(?<![\w.+-])[a-z][a-z0-9-]{4,62}@[a-z][a-z0-9-]{4,28}[a-z0-9]\.iam\.gserviceaccount\.com(?![\w-])"
-EMAIL = (
-    r"(?<![\p{L}\p{M}\p{N}_%+-])(?<![\p{L}\p{M}\p{N}_%+-]\.)[\p{L}\p{M}\p{N}_%+-](?:[\p{L}\p{M}\p{N}_%+'-]|\.(?=[\p{L}\p{M}\p{N}_%+'-])){0,63}@"
-    r"(?:[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}-]{0,61}[\p{L}\p{M}\p{N}])?\.){1,16}(?:xn--[a-z0-9-]{1,59}|\p{L}[\p{L}\p{M}]{1,47})"
-    r"(?![\p{L}\p{M}\p{N}]|\.[\p{L}\p{N}])"
-)
-PHONE = r"(?<![\p{L}\p{N}_./@-])(?:\+|00)?\(?\d{1,4}\)?(?:[ \-.]?\(?\d{1,4}\)?){1,7}(?![\p{L}\p{N}_@]|[.:\-/]\d)"
-PHONE_WORDS = r"(?:tel|telephone|phone|mobile|mob|mobil|cell|fax|telefon|tfn|tlf|ring)(?:\s*(?:number|no\.?|nr\.?|#))?"
-PHONE_KEYWORD = rf"(?i)(?:(?:\b{PHONE_WORDS}|☎)(?:[\s.:#=-]{{0,4}}|[\x22\x27`]\s*[:=#]\s*[\x22\x27`]?|\s*[:=#]\s*[\x22\x27`])|<(?:[\w.-]+:)?\b{PHONE_WORDS}\s*>\s*)$"
-CLOUD_KEY = rf"""(?<![\w-])["']?([A-Za-z_][\w.-]{{0,63}})["']?[ \t]*[:=][ \t]*["']?({GUID}|\d{{12}})(?![\w-])"""
-NAME_KEY = r"""(?i)(?<![\w-])["']?((?:[A-Za-z]+[_.-]?)?(?:host(?:[_.-]?name)?|server(?:[_.-]?name)?|data source|endpoint|service|address|node|instance|cluster|env|environment|stage|tier))["']?[ \t]*[:=][ \t]*["']?(?:(?:tcp|np|lpc):)?([A-Za-z0-9][\w.-]{0,254})(?![\w.-]*(?:://|@))"""
-HIGH_RISK = {
-    "pattern.private-key-block": r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----|---- BEGIN SSH2 [A-Z ]{0,20}PRIVATE KEY ----|PuTTY-User-Key-File-\d",
-    "pattern.cloud-access-key": r"(?<![0-9A-Z])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Z])",
-    "pattern.source-control-token": r"gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{20,}",
-    "pattern.chat-token": r"xox[abposr]-[A-Za-z0-9-]{10,}",
-    "pattern.payment-key": r"(?:sk|rk)_live_[A-Za-z0-9]{16,}",
-    "pattern.google-api-key": r"AIza[0-9A-Za-z_-]{35}",
-    "pattern.llm-api-key": r"(?<![A-Za-z0-9])sk-(?:proj-|ant-)?[A-Za-z0-9_-]{20,}",
-    "pattern.npm-token": r"npm_[A-Za-z0-9]{36}",
-    "pattern.jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.",
-    "pattern.authorization-credential": r"""(?i)authorization["']?\s*[:=]\s*["']?(?:bearer|basic|token)\s+[A-Za-z0-9._~+/=-]{8,}""",
-}
-ASSIGNMENT = r"""(?i)(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?token|auth[_-]?token)["']?\s*[:=]\s*(?:(["'`])([^"'`\r\n]{4,})\2|([^\s"'`,;)]{4,}))"""
-
-_OCTET = "cast(split(m.g1, r'\\.')[{0}] as int)"
-_A, _B, _C, _D = (_OCTET.format(k) for k in range(4))
-_NUMBER = f"(({_A} * 256L + {_B}) * 65536L + {_C} * 256 + {_D})"
-_OCTETS = f"{_A} <= 255 and {_B} <= 255 and {_C} <= 255 and {_D} <= 255"
-_PREFIX = "try_cast(nullif(m.g2, '') as int)"
-_SERVICE = "element_at(map(" + ", ".join(f"{p}, '{n}'" for p, n in enums.WELL_KNOWN_PORTS.items()) + "), cast({0} as int))"
-# Of an IPv6 match: the address without a colon that ends it, its embedded IPv4 address and that as two groups, all eight groups.
-_ADDRESS6 = r"regexp_replace(m.g2, r'(?<!:):$', '')"
-_TAIL4 = rf"regexp_extract({_ADDRESS6}, r'(\d{{1,3}}(?:\.\d{{1,3}}){{3}})$', 1)"
-_PAIR = "lower(hex(cast(split({t}, r'\\.')[{a}] as int) * 256 + cast(split({t}, r'\\.')[{b}] as int)))".replace("\\\\", "\\")
-_HEX6 = f"if({_TAIL4} = '', {_ADDRESS6}, concat(substring({_ADDRESS6}, 1, length({_ADDRESS6}) - length({_TAIL4})), {_PAIR.format(t=_TAIL4, a=0, b=1)}, ':', {_PAIR.format(t=_TAIL4, a=2, b=3)}))"
-_FILLED = "filter(split({0}, ':'), g -> g <> '')"
-_VALID6 = (
-    f"({_HEX6} rlike r'^(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}$' or {_HEX6} rlike r'^(?:[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{1,4}}){{0,6}})?::(?:[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{1,4}}){{0,6}})?$'"
-    f" and size({_FILLED.format(_HEX6)}) <= 7) and not exists(split({_TAIL4}, r'\\.'), o -> o <> '' and cast(o as int) > 255)"
-    f" and not (contains(m.g2, '::') and not (m.g2 rlike r'\\d') and size({_FILLED.format('m.g2')}) < 3)"
-).replace("\\\\", "\\")
-_GROUPS6 = (
-    f"transform(array({_HEX6}), h -> transform(if(contains(h, '::'), concat({_FILLED.format('substring_index(h, concat(chr(58), chr(58)), 1)')},"
-    f" array_repeat('0', greatest(0, 8 - size({_FILLED.format('h')}))), {_FILLED.format('substring(h, instr(h, concat(chr(58), chr(58))) + 2)')}), split(h, ':')), g -> cast(conv(g, 16, 10) as int)))[0]"
-)
-_PREFIX6 = "if(try_cast(nullif(m.g3, '') as int) <= 128, try_cast(nullif(m.g3, '') as int), null)"
-_END6 = f"m.e - case when m.g4 <> '' then length(m.g4) + 2 when m.g1 <> '' and m.v like '%]' then 1 else 0 end - if(m.g3 <> '' and {_PREFIX6} is null, length(m.g3) + 1, 0)"
-_SCOPE6 = f"transform(array({_GROUPS6}), v -> {ipv6_scope('v', _PREFIX6)})[0]"
-# Of a dotted name: conditions by name, over its labels l (in lower case) and o (as written).
-_IN = lambda words, x: f"{x} in ({', '.join(repr(w) for w in words.split())})"
-_CODE = f"forall(slice(o, 1, size(o) - 1), x -> {_IN(RECEIVERS, 'lower(x)')} or length(x) = 1 and not ({_IN(KNOWN_SUFFIXES, 'element_at(l, -1)')}) or x rlike '[a-z][A-Z]' or contains(x, '_'))"
-_KNOWN = rf"({_IN(KNOWN_SUFFIXES, 'element_at(l, -1)')} or {_IN(PRIVATE_SUFFIXES, 'element_at(l, -1)')} or element_at(l, -1) like 'xn--%' or element_at(l, -1) rlike r'[^\x00-\x7f]')"
-_NAMED = {
-    "in_context": "(substring(text, m.s - 1, 2) = '//' and m.s > 1 or m.s > 0 and substring(text, m.s, 1) = '@' or m.g2 <> '')",
-    "version": r"(o[0] rlike r'(?i)^v?\d+$' and o[1] rlike r'^\d+')",
-    "variable": f"(element_at(o, -1) rlike '^[A-Z]{{3,}}$' and ({_CODE} or not {_KNOWN} and exists(slice(o, 1, size(o) - 1), x -> x rlike '[a-z]')))",
-    "marked": r"(m.g1 rlike r'[\d-]')",
-    "code": f"({_CODE})",
-    "named": f"({_KNOWN} or element_at(l, -1) rlike '^[a-z]{{2}}$')",
-    "file": f"({_IN(FILE_SUFFIXES, 'element_at(l, -1)')})",
-}
-_IS_HOST = "{in_context} or not {version} and not {variable} and (size(l) >= 3 and {marked} or not ({code} and not {marked}) and {named})".format(**_NAMED)
-_DNS = rf"(m.g1 rlike r'{RESERVED_NAMES}' or transform(array(struct(split(m.g1, r'\.') as o, split(lower(m.g1), r'\.') as l)), z -> transform(array(z.o), o -> transform(array(z.l), l -> not {_NAMED['file']} and ({_IS_HOST}))[0])[0])[0])"
-# Of a phone match: without a parenthesis that has no partner, a pair around all of it, and separators that end it.
-_OPEN, _CLOSE = "length(regexp_replace({0}, r'[^(]', ''))", "length(regexp_replace({0}, r'[^)]', ''))"
-_PHONE1 = f"if({_CLOSE.format('m.v')} > {_OPEN.format('m.v')}, regexp_replace(m.v, r'\\)$', ''), m.v)".replace("\\\\", "\\")
-_PHONE2 = f"if({_OPEN.format(_PHONE1)} > {_CLOSE.format(_PHONE1)}, regexp_replace({_PHONE1}, r'^\\(', ''), {_PHONE1})".replace("\\\\", "\\")
-_PHONE3 = rf"regexp_replace(regexp_replace({_PHONE2}, r'^\(([^()]*)\)$', '$1'), r'[ \-.]+$', '')"
-_PHONE_AT = f"m.s + if({_PHONE1} <> {_PHONE2}, 1, 0) + if({_PHONE2} rlike r'^\\([^()]*\\)$', 1, 0)".replace("\\\\", "\\")
-_DIGITS = rf"regexp_replace({_PHONE3}, r'\D', '')"
-_BEFORE = f"substring(text, greatest(1, {_PHONE_AT} - 31), least(32, {_PHONE_AT}))"
-_KEYWORD = f"{_BEFORE} rlike r'{PHONE_KEYWORD}'"
-_INTERNATIONAL = f"({_PHONE3} like '+%' or {_PHONE3} like '00%')"
-_MARKS = rf"regexp_replace({_PHONE3}, r'[\d+]', '')"
-_PLAUSIBLE = {
-    "as many digits as numbers have": f"length({_DIGITS}) between 7 and 15",
-    "no bare key or reference before": f"({_KEYWORD} or not ({_BEFORE} rlike '[:=#]$'))",
-    "no version": rf"({_INTERNATIONAL} or {_KEYWORD} or not ({_MARKS} rlike r'^\.+$'))",
-    "no date": rf"not ({_PHONE3} rlike r'^\d{{4}}-\d{{2}}-\d{{2}}$')",
-    "no bare run of digits": f"(regexp_replace({_MARKS}, '[()]', '') <> '' or {_INTERNATIONAL} or {_KEYWORD})",
-    "parentheses in pairs": f"{_OPEN.format(_PHONE3)} = {_CLOSE.format(_PHONE3)}",
-}
-_TRIM = r"regexp_replace(m.g1, r'[.,;:)\]]+$', '')"
-_QUOTE = "substring(text, m.s, 1)"
-_CLOSED = f"locate({_QUOTE}, text, m.s + length({_TRIM}) + 1)"
-_LINE_END = f"locate(chr(10), text, m.s + length({_TRIM}) + 1)"
-#: A path in quotes goes to the closing quote of its line.
-_PATH_END = f"if(m.s > 0 and {_QUOTE} in (chr(34), chr(39)) and {_CLOSED} > m.s + length({_TRIM}) + 1 and ({_LINE_END} = 0 or {_CLOSED} < {_LINE_END}), {_CLOSED} - 1, m.s + length({_TRIM}))"
-_HOSTPORT = "regexp_replace(m.g2, r'^.*@', '')"
-_HOST = rf"regexp_replace(regexp_extract({_HOSTPORT}, r'^(\[[^\]]{{1,64}}\]|[^:]{{1,255}})(?::(\d{{1,5}}))?$', 1), r'\.$', '')"
-_PORT = rf"regexp_extract({_HOSTPORT}, r'^(\[[^\]]{{1,64}}\]|[^:]{{1,255}})(?::(\d{{1,5}}))?$', 2)"
-_HOST_AT = f"m.s + length(m.g1) + 3 + length(m.g2) - length({_HOSTPORT})"
-_URL_TAIL = r'''length(regexp_extract(m.g3, r"[.,;:!?'\]}]*$", 0))'''
 _KEY = "regexp_replace(lower(m.g1), '[^a-z]', '')"
 _ENVIRONMENT = r"lower(m.g1) rlike r'(?:^|[_.-])(?:env|environment|stage|tier)$'"
 

@@ -11,6 +11,7 @@ from ..functions import enums
 from ..functions.hashing import hmac_sha256
 from ..operators import classification, dependencies, detectors, evaluation, mappings, normalization, parsers, policy, regions, sentinel, wire
 from ..sources.tables import table
+from . import planted
 from .fixtures import frame, with_
 
 KEY = b"synthetic-key"
@@ -68,7 +69,7 @@ def span_email(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "start", F.col("end").alias("stop"), "value")
 
 
-@_query("span_url_pages", f"""select page_id, s::int as start, (s + length(v) - length(regexp_extract(v, '[.,;:!?]*$')))::int as stop, lower(regexp_extract(v, '^[^:]*')) as scheme from ({_matched('[A-Za-z][A-Za-z0-9+.-]{0,31}://[^ <>"`/?#]{1,512}[^ <>"`]{0,900}', 'pages', 'page_id', 'url')})""")
+@_query("span_url_pages", f"""select page_id, s::int as start, (s + length(v) - length(regexp_extract(v, '[.,;:!?]*$')))::int as stop, case when lower(regexp_extract(v, '^[^:]*')) in ({', '.join(repr(x) for x in detectors.SCHEMES.split())}) then lower(regexp_extract(v, '^[^:]*')) else 'OTHER' end as scheme from ({_matched('[A-Za-z][A-Za-z0-9+.-]{0,31}://[^ <>"`/?#]{1,512}[^ <>"`]{0,900}', 'pages', 'page_id', 'url')})""")
 def span_url_pages(spark: SparkSession, folder: str) -> DataFrame:
     found = detectors.findings(table(spark, folder, "pages").select("page_id", F.col("url").alias("text")), tuple(r for r in detectors.RULES if r.rule == "format.url"), "page_id")
     return found.select("page_id", "start", F.col("end").alias("stop"), F.col("detail").alias("scheme"))
@@ -529,17 +530,6 @@ def normalized_views(spark: SparkSession, folder: str) -> DataFrame:
     return normalization.normalized(_texts(spark, folder)).groupBy("encoding", "depth", "status").agg(F.count("*").alias("n"))
 
 
-@_query("credential_keys", """select doc_id, lang in ('pwd', 'pass', 'auth', 'key', 'pin', 'sid', 'jwt', 'dsn') as high_risk from documents""")
-def credential_keys(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", parsers.credential_key("lang").alias("high_risk"))
-
-
-@_query("strict_encodings", """select doc_id, true as own, false as cut, regexp_full_match(sha256(text), '[0-9a-f]+') as hex from documents where length(text) > 0""")
-def strict_encodings(spark: SparkSession, folder: str) -> DataFrame:
-    d = _texts(spark, folder).where("length(text) > 0").select("doc_id", F.base64(F.col("text").cast("binary")).alias("b"), F.sha2("text", 256).alias("h"))
-    return d.withColumn("c", F.concat("b", F.lit("="))).select("doc_id", wire.strict_base64("b").alias("own"), wire.strict_base64("c").alias("cut"), wire.lower_hex("h").alias("hex"))
-
-
 @_query("known_values", """select b.item_id, d.doc_id from benchmark b join documents d on contains(regexp_replace(lower(d.text), '[^\\p{L}\\p{N}]', '', 'g'), regexp_replace(lower(b.text), '[^\\p{L}\\p{N}]', '', 'g'))""")
 def known_values(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark passages as known originals, looked for in every document by hashed heads and keyed hashes."""
@@ -554,8 +544,8 @@ def audit_hmac(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return _queries | planted.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_oracles)
+    return _oracles | planted.oracle_sql()
