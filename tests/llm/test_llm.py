@@ -140,6 +140,51 @@ def test_packing_mixes_sources_without_a_queue_of_their_own(spark):
     assert all(np.histogram(ones, 4, (0, windows))[0] > 2)
 
 
+def round_robin(totals, weights, size):
+    """Tokens by window and queue as a plain deficit round-robin gives them, until a queue is empty."""
+    left, deficit, out = list(totals), [0.0] * len(totals), []
+    while all(n >= size * w for n, w in zip(left, weights, strict=True)):
+        own = [0] * len(totals)
+        for j, w in enumerate(weights):
+            deficit[j] += size * w
+            own[j] = int(deficit[j] + 1e-9)
+            deficit[j] -= own[j]
+        out.append(own)
+        left = [n - k for n, k in zip(left, own, strict=True)]
+    return out
+
+
+@pytest.mark.parametrize(("totals", "weights"), [([4000, 4000, 4000], [0.5, 0.3, 0.2]), ([900, 9000], [0.5, 0.5]), ([50, 9000, 700], [0.9, 0.1, 0.0]), ([3000, 100], [0.9, 0.1]), ([5, 6], [0.5, 0.5])])
+def test_mixture_holds_target_weights(totals, weights):
+    size = 64
+    plan = packing.Mixture(totals, weights, size)
+    used, spots = Counter(), set()
+    for j, total in enumerate(totals):
+        cuts = np.unique(np.concatenate([[0], rng.integers(0, total, 30), [total]]))
+        doc, start, n, window, offset = plan.pieces(j, cuts[:-1], np.diff(cuts))
+        seen = np.zeros(total, int)
+        for d, a, k, w, o in zip(doc.tolist(), start.tolist(), n.tolist(), window.tolist(), offset.tolist(), strict=True):
+            used[w, j] += k
+            seen[cuts[d] + a : cuts[d] + a + k] += 1
+            spots |= {(w, p) for p in range(o, o + k)}
+        assert (seen == 1).all()
+    windows = sum(totals) // size
+    assert len(spots) == sum(totals) and all(sum(used[w, j] for j in range(len(totals))) == size for w in range(windows))
+    plain = round_robin(totals, weights, size)
+    given = np.cumsum([[used[w, j] for j in range(len(totals))] for w in range(len(plain))], 0)
+    assert not plain or np.abs(given - np.cumsum(plain, 0)).max() <= 2
+
+
+def test_packing_to_weights(spark):
+    docs = spark.createDataFrame([(k, prose(60, k), f"s{k % 3}") for k in range(60)] + [(99, None, None)], "doc_id long, text string, source string")
+    got = packing.pack(docs, packing.vocabulary(), size=64, weights={"s0": 3.0, "s1": 1.0}).toPandas()
+    assert (got.groupby("doc_id").length.sum() == got.groupby("doc_id").doc_tokens.first()).all() and got.doc_id.nunique() == 61
+    first = got[got.sequence_id < 5].assign(source=lambda x: x.doc_id % 3).groupby(["sequence_id", "source"]).length.sum()
+    assert all(abs(first[w, 0] - 48) <= 1 and abs(first[w, 1] - 16) <= 1 for w in range(5)) and (2 not in first.index.get_level_values(1))
+    with pytest.raises(ValueError):
+        packing.pack(docs, packing.vocabulary(), weights={"s0": 0.0})
+
+
 # ---- near-duplicates
 
 def bag(text):
@@ -238,12 +283,20 @@ def test_cascade_is_exact(spark):
     assert urls.cascade(universe, most_bits=64) is None
 
 
-@pytest.mark.parametrize("bits", [urls.MOST_BITS, 8])
+@pytest.mark.parametrize("bits", [urls.MOST_BITS, 256])
 def test_urls(spark, bits):
-    given = ["http://www.EXAMPLE.com/en/1", "http://a.example.com/en/1?x", "http://a.example.com", "https://x.net/es/", "https://x.org/es/", "https://spam-farm.example.org/en", None, "nothing", "http://notexample.com/en/"]
-    got = {r.page_id: (r.host, r.rule, r.verdict) for r in urls.judge(spark.createDataFrame([(k, u) for k, u in enumerate(given)], "page_id long, url string"), most_bits=bits).collect()}
-    assert [got[k][1:] for k in range(9)] == [("www.example.com/en/", "allow"), ("example.com/en/", "block"), (None, "allow"), ("net/es/", "block"), (None, "allow"), (None, "block"), (None, "allow"), (None, "allow"), ("com/", "allow")]
-    assert got[0][0] == "www.example.com" and got[6][0] == ""
+    given = ["http://www.EXAMPLE.com/en/1", "http://a.example.com/en/1?x", "http://a.example.com", "https://x.net/es/", "https://x.org/es/", "https://spam-farm.example.org/en", None, "nothing", "http://notexample.com/en/", "http://a.b.SPAM-farm.example.org", "http://notspam-farm.example.org", "http://bad.test:80/x", "http://bad.test"]
+    rows = [(k, u) for k, u in enumerate(given)] + [(None, "http://x.bad.test/"), (0, given[0])]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("x")).withColumn("hit", F.lit(1)).withColumn("key", F.lit(2))
+    hosts = spark.createDataFrame([("Spam-Farm.example.org",), ("bad.test",), ("bad.test",), (None,), ("",), ("unseen.test",)], "host string")
+    out = urls.judge(pages, hosts, most_bits=bits).collect()
+    got = {r.page_id: (r.host, r.rule, r.verdict) for r in out}
+    assert len(out) == len(rows) and got[None][1:] == (None, "block")
+    assert [got[k][1:] for k in range(13)] == [
+        ("www.example.com/en/", "allow"), ("example.com/en/", "block"), (None, "allow"), ("net/es/", "block"), (None, "allow"), (None, "block"), (None, "allow"), (None, "allow"), ("com/", "allow"),
+        (None, "block"), (None, "allow"), (None, "allow"), (None, "block")]
+    assert got[0][0] == "www.example.com" and got[6][0] == "" and got[11][0] == "bad.test:80"
+    assert urls.judge(pages.limit(0), hosts).count() == 0 and urls.judge(pages, hosts.limit(0)).where("verdict = 'block'").count() == 2
 
 
 # ---- substrings

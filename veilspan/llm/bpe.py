@@ -80,6 +80,8 @@ class WordBPE:
                 break
         else:
             raise ValueError("no second table without collisions")
+        if self.library.get_vocab_size() > 1 << 16:
+            raise ValueError("ids are held in 16 bits")
         self.cache_words = cache_words
         self._clear()
 

@@ -13,6 +13,9 @@ and a window more, share one (while that is too small itself, the next smallest
 and are served by the share of their own source that comes before them, with a phase hashed from the source: at any point of
 the shared queue each of its sources has been given what its tokens are owed, to within one of its documents.
 
+Target proportions other than the corpus's own hold until a queue is empty; ``Mixture`` puts a schedule after another, one for
+each set of queues that are left.
+
 The last ``T mod size`` tokens, cut from the ends of the longest queues, fill one shorter sequence.
 
 Tokens are made once, written to a shared scratch table as 16-bit ids, and cut in a second pass.
@@ -146,8 +149,64 @@ class Schedule:
         return tuple(np.concatenate([x, np.asarray(y, np.int64)]) for x, y in zip(out, end, strict=True))
 
 
-def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, most_queues: int = MOST_QUEUES) -> DataFrame:
-    """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue) of ``docs(doc_id, text, source)``."""
+class Mixture:
+    """Schedules one after another: windows of the target weights until a queue is empty, then of the weights that are left.
+
+    A phase has as many windows as every queue with a weight can serve; the window in which one runs out is a phase of its own,
+    in which it gives what it has.  Queues without a weight are served when all others are empty, by their own proportions.  The
+    phases follow from the totals alone, so there are at most two for each queue, and no window waits for another."""
+
+    def __init__(self, totals: list[int], weights: list[float], size: int) -> None:
+        left, window = list(totals), 0
+        self.phases: list[tuple[int, list[int], Schedule]] = []
+        while sum(left) >= size:
+            live = self._weights(left, weights, size)
+            many = min(int(left[j] / (size * w)) for j, w in live.items())
+            take = [0] * len(totals)
+            if many:
+                for j, w in live.items():
+                    take[j] = min(left[j], int(many * size * w))
+            # Queues that run out give all they have; the rest is dealt to the others, largest remainder first.
+            while (need := max(1, many) * size - sum(take)) > 0:
+                rest = [n - t for n, t in zip(left, take, strict=True)]
+                share = self._weights(rest, weights, size)
+                part = {j: min(rest[j], int(need * w)) for j, w in share.items()}
+                if not any(part.values()):
+                    part = {j: 1 for j in sorted(share, key=lambda j: (-need * share[j], j))[:need]}
+                for j, n in part.items():
+                    take[j] += n
+            self.phases.append((window, [n - m for n, m in zip(totals, left, strict=True)], Schedule(take, size)))
+            left = [n - t for n, t in zip(left, take, strict=True)]
+            window += max(1, many)
+        self.phases.append((window, [n - m for n, m in zip(totals, left, strict=True)], Schedule(left, size)))
+
+    @staticmethod
+    def _weights(left: list[int], weights: list[float], size: int) -> dict[int, float]:
+        """Shares of the queues that are served now; none is under two tokens a window."""
+        some = {j: weights[j] for j, n in enumerate(left) if n and weights[j] > 0} or {j: float(n) for j, n in enumerate(left) if n}
+        total = sum(some.values())
+        some = {j: max(w / total, 2 / size) for j, w in some.items()}
+        return {j: w / sum(some.values()) for j, w in some.items()}
+
+    def pieces(self, j: int, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """As ``Schedule.pieces``."""
+        out = [[np.zeros(0, np.int64)] * 5]
+        for window, begins, plan in self.phases:
+            low, high = begins[j], begins[j] + plan.kept[j] + plan.tail[j]
+            own = np.flatnonzero((start < high) & (start + n > low))
+            a, b = np.maximum(start[own], low), np.minimum(start[own] + n[own], high)
+            doc, at, many, sequence, offset = plan.pieces(j, a - low, b - a)
+            out.append([own[doc], at + (a - start[own])[doc], many, sequence + window, offset])
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, most_queues: int = MOST_QUEUES, weights: dict[str, float] | None = None) -> DataFrame:
+    """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue) of ``docs(doc_id, text, source)``.
+
+    ``weights``: target proportions of tokens by source, for ``most_queues`` sources at most (else ValueError); other sources come
+    when those are empty.  Without it the targets are the sources' own shares of the corpus."""
+    if weights is not None and (len(weights) > most_queues or any(w <= 0 for w in weights.values())):
+        raise ValueError("weights")
     spark = docs.sparkSession
     common.small_batches(spark)
     tokens = common.written(tokenized(docs, path, end_id))
@@ -155,13 +214,15 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, mos
     by_source = parts.groupBy("key").agg(F.sum("n").alias("total"))
     total = by_source.agg(F.sum("total")).first()[0] or 0
     windows = total // size
-    own = by_source.orderBy(F.desc("total"), "key").limit(most_queues).collect()
+    named = [f"={k}" for k in weights or ()]
+    own = (by_source.where(F.col("key").isin(named)) if weights is not None else by_source).orderBy(F.desc("total"), "key").limit(most_queues).collect()
     # A queue below a token a window joins the shared one; while that is too small itself, so does the next smallest.
     tail = total - sum(r.total for r in own)
-    while own and (own[-1].total < windows + size or 0 < tail < windows + size or not windows):
+    while weights is None and own and (own[-1].total < windows + size or 0 < tail < windows + size or not windows):
         tail += own.pop().total
     other = len(own)
-    plan = Schedule([*(r.total for r in own), tail], size)
+    totals = [*(r.total for r in own), tail]
+    plan = Schedule(totals, size) if weights is None else Mixture(totals, [*(weights[r.key[1:]] for r in own), 0.0], size)
     queues = F.broadcast(spark.createDataFrame([(r.key, k) for k, r in enumerate(own)], "key string, own int"))
     order = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))).join(queues, "key", "left").withColumn("to", F.coalesce("own", F.lit(other)))

@@ -1,9 +1,10 @@
 """URL filter by a Bloom filter cascade.
 
-Keys are hosts.  Level 0 encodes the listed hosts; level 1 encodes the other hosts of the corpus's complete key universe
-that pass level 0; level 2 the listed hosts that pass level 1; and so on until no key of the universe is told wrongly.
-Membership of every host of the corpus is then exact and needs no join: the levels are broadcast.  Their size is known
-before they are built; above ``MOST_BITS`` they are not built and an exact join with the listed hosts takes over.
+Keys are hosts and the domains above them.  Level 0 encodes the listed hosts; level 1 encodes the other keys of the corpus's
+complete key universe that pass level 0; level 2 the listed ones that pass level 1; and so on until no key of the universe is
+told wrongly.  Membership of every key of the corpus is then exact and needs no join: the levels are broadcast.  Their size is
+known before they are built; above ``MOST_BITS`` the keys are dealt to shards by hash, and the shards' levels are asked one
+after another.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, which no list holds (allow); null and repeated
 page ids each give their row; an empty table gives no rows; extra columns are ignored.
@@ -30,8 +31,12 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Labels that put a host on the list.
-LISTED_LABELS = ("spam-farm", "cheap-pills", "free-casino", "link-farm", "adult-dating", "payday-loans", "replica-watches", "crypto-doubler")
+#: The list of the query: hosts that are blocked with all their subdomains.  The operator takes any table of hosts.
+LISTED_HOSTS = tuple(
+    f"{label}.example.{top}"
+    for label in ("spam-farm", "cheap-pills", "free-casino", "link-farm", "adult-dating", "payday-loans", "replica-watches", "crypto-doubler")
+    for top in ("com", "net", "org")
+)
 
 
 def parts(url: str) -> tuple[Column, Column]:
@@ -41,8 +46,9 @@ def parts(url: str) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(url, shape, 2), F.lit(""))
 
 
-def listed(host: str) -> Column:
-    return F.col(host).rlike(r"(^|\.)(" + "|".join(LISTED_LABELS) + r")(\.|$)")
+def domains(host: str) -> Column:
+    """A host and every domain above it."""
+    return F.expr(f"transform(sequence(1, size(split({host}, '[.]'))), k -> array_join(slice(split({host}, '[.]'), k, size(split({host}, '[.]'))), '.'))")
 
 
 class Level:
@@ -114,24 +120,45 @@ def members(levels: list[Level], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def judge(pages: DataFrame, rules: tuple = RULES, most_bits: int = MOST_BITS) -> DataFrame:
-    """(page_id, host, path, rule, verdict) of every row of ``pages(page_id, url)``."""
-    spark = pages.sparkSession
-    host, path = parts("url")
-    rows = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"))
-    universe = rows.select(F.col("host").alias("key")).where("key <> ''").distinct().withColumn("listed", listed("key"))
-    levels = cascade(universe, most_bits)
-    if levels is None:
-        names = universe.where("listed").select(F.col("key").alias("host"), F.lit(True).alias("hit"))
-        rows = rows.join(names, "host", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    else:
-        shared = spark.sparkContext.broadcast(levels)
+def members_of(rows: DataFrame, keys: str, universe: DataFrame, most_bits: int = MOST_BITS, shards: int = 1) -> DataFrame:
+    """``rows`` with ``hit``: whether any key of the array ``keys`` is listed in ``universe(key, listed)``, which holds them all."""
+    spark = rows.sparkSession
+    shard = F.pmod(F.xxhash64(F.lit("shard"), "key"), F.lit(shards))
+    built = []
+    for k in range(shards):
+        levels = cascade(universe.where(shard == k), most_bits)
+        if levels is None:
+            return members_of(rows, keys, universe, most_bits, 4 * shards)
+        built.append(spark.sparkContext.broadcast(levels))
+    out = rows.withColumn("hit", F.lit(False))
+    for k, levels in enumerate(built):
 
         @F.pandas_udf("boolean")
-        def member(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series(members(shared.value, _u64(a), _u64(b)))
+        def member(a: pd.Series, b: pd.Series, levels=levels) -> pd.Series:
+            """Rows of arrays of hashes; whether any of them is listed."""
+            sizes = a.str.len().to_numpy()
+            none = np.zeros(0, np.int64)
+            x, y = (np.concatenate([none, *s]).astype(np.int64).view(np.uint64) for s in (a, b))
+            found = members(levels.value, x, y)
+            return pd.Series(np.bincount(np.repeat(np.arange(len(sizes)), sizes)[found], minlength=len(sizes)) > 0)
+
+        own = F.filter(keys, lambda key: F.pmod(F.xxhash64(F.lit("shard"), key), F.lit(shards)) == k)  # noqa: B023
+        out = out.withColumn("hit", F.col("hit") | member(F.transform(own, lambda x: F.xxhash64(x)), F.transform(own, lambda x: F.xxhash64(F.lit("b"), x))))
+        if shards > 1:
+            out = common.written(out)
+            levels.unpersist()
+    return out
 
-        rows = rows.withColumn("hit", (F.col("host") != "") & member(F.xxhash64("host"), F.xxhash64(F.lit("b"), "host")))
+
+def judge(pages: DataFrame, hosts: DataFrame, rules: tuple = RULES, most_bits: int = MOST_BITS) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of every row of ``pages(page_id, url)``; ``hosts(host)`` are blocked with all their
+    subdomains where no rule fits.  Null and repeated rows of ``hosts`` count for nothing."""
+    host, path = parts("url")
+    rows = pages.select(F.col("page_id"), host.alias("host"), path.alias("path")).withColumn("_keys", F.when(F.col("host") != "", domains("host")).otherwise(F.expr("cast(array() as array<string>)")))
+    keys = rows.select(F.explode("_keys").alias("key")).distinct()
+    marked = hosts.select(F.lower(F.col("host").cast("string")).alias("key")).where("key <> ''").distinct().withColumn("_on", F.lit(True))
+    universe = common.written(keys.join(marked, "key", "left").select("key", F.coalesce("_on", F.lit(False)).alias("listed")))
+    rows = members_of(rows, "_keys", universe, most_bits)
     rule, verdict = F.lit(None).cast("string"), F.when(F.col("hit"), "block").otherwise("allow")
     for h, p, v in sorted(rules, key=lambda r: len(r[0] + r[1])):  # the longest is asked first
         fits = ((F.col("host") == h) | F.endswith("host", F.lit(f".{h}"))) & F.startswith("path", F.lit(p))
@@ -141,7 +168,7 @@ def judge(pages: DataFrame, rules: tuple = RULES, most_bits: int = MOST_BITS) ->
 
 def op8_url_filter(spark, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
-    return judge(common.table(spark, sf_dir, "pages"))
+    return judge(common.table(spark, sf_dir, "pages"), spark.createDataFrame([(h,) for h in LISTED_HOSTS], "host string"))
 
 
 def oracle() -> str:
@@ -153,4 +180,4 @@ def oracle() -> str:
 with t as (select page_id, case when contains(url, '://') then url[strpos(url, '://') + 3:] else '' end as rest from pages),
 u as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from t)
 select page_id, host, path, case {rule} end as rule,
-  case {verdict} when regexp_matches(host, '(^|\\.)({'|'.join(LISTED_LABELS)})(\\.|$)') then 'block' else 'allow' end as verdict from u"""
+  case {verdict} when len(list_filter([{', '.join(f"'{h}'" for h in LISTED_HOSTS)}], lambda h: host = h or ends_with(host, '.' || h))) > 0 then 'block' else 'allow' end as verdict from u"""
