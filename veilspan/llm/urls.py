@@ -120,6 +120,20 @@ def members(levels: list[Level], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _asked(levels):
+    """Function of two arrays of hashes of keys: whether any of the keys is listed by the broadcast ``levels``."""
+
+    @F.pandas_udf("boolean")
+    def member(a: pd.Series, b: pd.Series) -> pd.Series:
+        sizes = a.str.len().to_numpy()
+        none = np.zeros(0, np.int64)
+        x, y = (np.concatenate([none, *s]).astype(np.int64).view(np.uint64) for s in (a, b))
+        found = members(levels.value, x, y)
+        return pd.Series(np.bincount(np.repeat(np.arange(len(sizes)), sizes)[found], minlength=len(sizes)) > 0)
+
+    return member
+
+
 def members_of(rows: DataFrame, keys: str, universe: DataFrame, most_bits: int = MOST_BITS, shards: int = 1) -> DataFrame:
     """``rows`` with ``hit``: whether any key of the array ``keys`` is listed in ``universe(key, listed)``, which holds them all."""
     spark = rows.sparkSession
@@ -132,18 +146,8 @@ def members_of(rows: DataFrame, keys: str, universe: DataFrame, most_bits: int =
         built.append(spark.sparkContext.broadcast(levels))
     out = rows.withColumn("hit", F.lit(False))
     for k, levels in enumerate(built):
-
-        @F.pandas_udf("boolean")
-        def member(a: pd.Series, b: pd.Series, levels=levels) -> pd.Series:
-            """Rows of arrays of hashes; whether any of them is listed."""
-            sizes = a.str.len().to_numpy()
-            none = np.zeros(0, np.int64)
-            x, y = (np.concatenate([none, *s]).astype(np.int64).view(np.uint64) for s in (a, b))
-            found = members(levels.value, x, y)
-            return pd.Series(np.bincount(np.repeat(np.arange(len(sizes)), sizes)[found], minlength=len(sizes)) > 0)
-
         own = F.filter(keys, lambda key: F.pmod(F.xxhash64(F.lit("shard"), key), F.lit(shards)) == k)  # noqa: B023
-        out = out.withColumn("hit", F.col("hit") | member(F.transform(own, lambda x: F.xxhash64(x)), F.transform(own, lambda x: F.xxhash64(F.lit("b"), x))))
+        out = out.withColumn("hit", F.col("hit") | _asked(levels)(F.transform(own, lambda x: F.xxhash64(x)), F.transform(own, lambda x: F.xxhash64(F.lit("b"), x))))
         if shards > 1:
             out = common.written(out)
             levels.unpersist()
