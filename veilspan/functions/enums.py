@@ -23,6 +23,10 @@ TRUST = ("CONTROL", "TRUSTED", "VERIFIED_EXTERNAL", "UNTRUSTED", "HOSTILE")
 SCOPES = ("request", "session", "project", "tenant")
 TREATMENTS = ("KEEP", "MASK", "TOKENIZE", "SYNTHETIC", "GENERALIZE", "REMOVE", "BLOCK", "REQUIRE_REVIEW")
 OPERATIONS = ("SEND", "USE", "DISPLAY", "EXPORT")
+INTERACTIONS = (
+    "model.input", "model.output", "tool.call", "tool.result", "mcp.list", "mcp.resource", "mcp.prompt", "mcp.call", "mcp.result", "file.list", "file.read", "file.search", "file.write", "file.diff",
+    "shell.command", "shell.stdout", "shell.stderr", "skill.load", "skill.resource", "skill.execute", "memory.read", "memory.write", "web.request", "web.response", "agent.handoff", "agent.result",
+)
 #: Treatments from most to least restrictive; the release level of a selected one is 20 and its place.
 RESTRICTION = ("REMOVE", "MASK", "TOKENIZE", "SYNTHETIC", "GENERALIZE", "KEEP")
 REPRESENTATIONS = ("EXACT", "IDENTITY_SYNTHETIC", "OPAQUE_TOKEN", "SEMANTIC_PLACEHOLDER", "GENERALIZED", "REMOVED", "WITHHELD")

@@ -28,6 +28,11 @@ RUNS = {
     "BASE64": r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{12,}={0,2}(?![A-Za-z0-9+/=])",
     "BASE64URL": r"(?<![\w-])(?=[\w-]*[_-])[A-Za-z0-9_-]{12,}={0,2}(?![\w-])",
 }
+#: Base64 broken into lines: full lines and a last one.
+WRAPPED = r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{16,4096}\r?\n[ \t]*){1,4096}[A-Za-z0-9+/]{4,4096}={0,2}(?![A-Za-z0-9+/=])"
+#: Characters of a printable string, the share of zeros that marks UTF-16, and spans of one decoded text that are kept apart.
+STRING, ZEROS, OCCURRENCES = 8, 0.8, 1024
+CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 IGNORABLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8\U000e0000-\U000e0fff]")
 
 
@@ -100,64 +105,140 @@ def mapped(start: str, end: str) -> tuple[Column, Column]:
     return F.expr(f"origin[{start}]"), F.expr(f"origin_end[{end} - 1]")
 
 
-def _decoded(kind: str, value: str) -> str | None:
+def text_of(raw: bytes) -> str | None:
+    """Strict text: UTF-8, or UTF-16 where every other byte is mostly zero, without controls."""
+    for encoding in ("utf-8", "utf-16-le"):
+        if encoding == "utf-16-le" and (len(raw) < 2 * STRING or len(raw) % 2 or raw[1::2].count(0) < ZEROS * len(raw) / 2):
+            continue
+        try:
+            text = raw.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+        if text and not CONTROL.search(text):
+            return text
+    return None
+
+
+def strings_of(raw: bytes) -> list[str]:
+    """Printable strings of bytes: of lenient UTF-8, and ASCII ones of UTF-16 in both orders from both parities."""
+    out = [x for x in re.split(r"[\x00-\x1f\x7f-\x9f\ufffd]+", raw.decode("utf-8", "replace")) if len(x) >= STRING]
+    if len(raw) >= 2 * STRING:
+        for encoding in ("utf-16-le", "utf-16-be"):
+            for skip in (0, 1):
+                out += re.findall(rf"[\x20-\x7e]{{{STRING},}}", raw[skip : skip + (len(raw) - skip) // 2 * 2].decode(encoding, "replace"))
+    return out
+
+
+def _unpadded(body: str) -> bytes | None:
+    body = body[: len(body) - 1] if len(body) % 4 == 1 else body
     try:
-        if kind == "PERCENT":
-            raw = unquote_to_bytes(value)
-        elif kind == "HEX":
-            raw = binascii.unhexlify(value[: len(value) // 2 * 2])
-        else:
-            body = value.rstrip("=").replace("-", "+").replace("_", "/")
-            body = body[: len(body) - 1] if len(body) % 4 == 1 else body
-            raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        text = raw.decode("utf-8")
+        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (ValueError, binascii.Error):
         return None
-    return None if re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", text) else text
 
 
-_PATTERNS = {k: re.compile(p) for k, p in RUNS.items()}
+def decodings(kind: str, value: str) -> Iterator[bytes | None]:
+    """Every reading of a run: base64 from its first four characters on, hex of odd length from both ends."""
+    if kind == "PERCENT":
+        yield unquote_to_bytes(value)
+    elif kind == "HEX":
+        for skip in range(1 + len(value) % 2):
+            yield binascii.unhexlify(value[skip : skip + len(value) // 2 * 2])
+    else:
+        body = re.sub(r"\s", "", value).rstrip("=").replace("-", "+").replace("_", "/")
+        for skip in range(4):
+            yield _unpadded(body[skip:])
+
+
+def _decoded(kind: str, value: str) -> tuple[str, str] | None:
+    """(text, form): TEXT where the first reading is text, else the union of what all readings hold, as STRINGS."""
+    pieces: dict[str, None] = {}
+    for k, raw in enumerate(decodings(kind, value)):
+        whole = text_of(raw) if raw else None
+        if whole and k == 0:
+            return whole, "TEXT"
+        if raw:
+            pieces |= dict.fromkeys([whole] if whole else strings_of(raw))
+    return ("\n".join(pieces), "STRINGS") if pieces else None
+
+
+_PATTERNS = [(k, re.compile(p)) for k, p in (*RUNS.items(), ("BASE64", WRAPPED))]
 
 
 def views_of(text: str, depth: int = DEPTH, most: int = VIEWS, budget: int = DECODED) -> tuple[list[tuple], list[tuple]]:
-    """(view, parent, encoding, depth, start, end, text) breadth first, and (view, start, end, reason) not inspected."""
-    views, closed, seen = [(0, None, "ROOT", 0, 0, len(text), text)], [], {}
+    """(view, parent, encoding, form, depth, start, end, text, occurrences) breadth first, and (view, start, end, reason) not inspected.
+
+    The same decoded text from runs of one view that do not overlap is one view with several occurrences."""
+    views: list[tuple] = [(0, None, "ROOT", "TEXT", 0, 0, len(text), text, [(0, len(text))])]
+    closed: list[tuple] = []
+    seen: dict[tuple[int, str], int] = {}
     at = 0
     while at < len(views):
-        view, _, _, level, _, _, body = views[at]
+        view, _, _, _, level, _, _, body, _ = views[at]
         at += 1
-        for kind, pattern in _PATTERNS.items():
+        for kind, pattern in _PATTERNS:
             for m in pattern.finditer(body):
                 if len(m[0]) > RUN:
                     closed.append((view, m.start(), m.end(), "RUN_TOO_LONG"))
                     continue
-                inner = _decoded(kind, m[0])
-                if inner is None or len(inner) < 4:
+                found = _decoded(kind, m[0])
+                if found is None or len(found[0]) < 4:
                     continue
-                if level >= depth:
+                inner, form = found
+                if (view, inner) in seen:
+                    spans = views[seen[view, inner]][8]
+                    if all(m.end() <= a or b <= m.start() for a, b in spans) and len(spans) < OCCURRENCES:
+                        spans.append(m.span())
+                elif level >= depth:
                     closed.append((view, m.start(), m.end(), "DEPTH_LIMIT"))
                 elif len(views) >= most:
                     closed.append((view, m.start(), m.end(), "VIEW_LIMIT"))
                 elif len(inner) > budget:
                     closed.append((view, m.start(), m.end(), "EXPANSION_LIMIT"))
-                elif (view, inner) not in seen:
+                else:
                     budget -= len(inner)
                     seen[view, inner] = len(views)
-                    views.append((len(views), view, kind, level + 1, m.start(), m.end(), inner))
+                    views.append((len(views), view, kind, form, level + 1, m.start(), m.end(), inner, [m.span()]))
     return views, closed
 
 
+def origins(views: list[tuple]) -> list[list[tuple[int, int]]]:
+    """For each view, the spans of the root text that it comes from: its own, or those of its ancestor right below the root."""
+    out: list[list[tuple[int, int]]] = []
+    for v in views:
+        out.append(v[8] if v[1] in (None, 0) else out[v[1]])
+    return out
+
+
+VIEW_COLUMNS = "view int, parent long, encoding string, form string, depth int, start int, end int, text string, origins array<struct<start: int, end: int>>, status string, reasons string, closed array<struct<view: int, start: int, end: int, reason: string>>"
+
+
 def normalized(texts: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, view, parent, encoding, depth, start, end, text, status, reasons): every view, and whether its text was seen whole."""
+    """(key and VIEW_COLUMNS): every view, where in the root text it comes from, and whether its text was seen whole; ``closed``:
+    the parts that were not inspected, at most 1024 of them, with the root view."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for k, t in zip(f[key], f.text, strict=True):
                 views, closed = views_of(t or "")
-                why = ",".join(sorted({c[3] for c in closed}))
-                rows += [(k, *v, "PARTIAL" if closed else "COMPLETE", why) for v in views]
-            yield pd.DataFrame(rows, columns=[key, "view", "parent", "encoding", "depth", "start", "end", "text", "status", "reasons"]).astype({"parent": "Int64"})
+                why = ",".join(sorted({c[3] for c in closed} | ({"UNINSPECTED_TRUNCATED"} if len(closed) > OCCURRENCES else set())))
+                shut = [dict(zip(("view", "start", "end", "reason"), c, strict=True)) for c in closed[:OCCURRENCES]]
+                for v, spans in zip(views, origins(views), strict=True):
+                    rows.append((k, *v[:8], [{"start": a, "end": b} for a, b in spans], "PARTIAL" if closed else "COMPLETE", why, shut if v[0] == 0 else []))
+            yield pd.DataFrame(rows, columns=[key, *(c.split()[0] for c in re.sub(r"<.*?>+", "", VIEW_COLUMNS).split(", "))]).astype({"parent": "Int64"})
 
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, "text").mapInPandas(run, f"{key} {kind}, view int, parent long, encoding string, depth int, start int, end int, text string, status string, reasons string")
+    return texts.select(key, "text").mapInPandas(run, f"{key} {kind}, {VIEW_COLUMNS}")
+
+
+def folded_views(views: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, view, text, origin, origin_end) of the views that folding changes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(k, v, *folded(t)) for k, v, t in zip(f[key], f["view"], f.text, strict=True) if not (t.isascii() and t.isprintable()) and folded(t)[0] != t]
+            yield pd.DataFrame(rows, columns=[key, "view", "text", "origin", "origin_end"])
+
+    kind = views.schema[key].dataType.simpleString()
+    return views.select(key, "view", "text").mapInPandas(run, f"{key} {kind}, view int, text string, origin array<int>, origin_end array<int>")
