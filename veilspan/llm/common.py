@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +27,27 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, with what it has freed given back to the system after each batch and at the end: workers outlive a
+    stage, and would hold their largest batch beside the next stages."""
+
+    def trim() -> None:
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    @wraps(run)
+    def each(batches: Iterator) -> Iterator:
+        for out in run(batches):
+            yield out
+            del out
+            trim()
+        trim()
+
+    return each
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder under the cluster's shared ``spark.checkpoint.dir``; a local one only where that is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -38,6 +38,10 @@ WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 5
 BLOCK_ROWS, BLOCK_BYTES = 768, 4 << 20
 #: Most classes (24 bytes each) that are broadcast to pick their texts.
 MOST_BROADCAST = 1_000_000
+#: Elements (distinct shingles) whose points are drawn at a time.
+SLICE = 1 << 16
+#: A band is hot from this share of all classes on: there are at most ``BANDS / HOT_SHARE`` (32,000) such bands.
+HOT_SHARE = 1 / 1000
 _SPACE = r"[^\pL\pN]+"
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,8 +86,20 @@ def shingles(words: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarray
 
 
 def signatures(n: int, doc: np.ndarray, element: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
-    """BagMinHash signatures (n x size) of weighted sets; elements of no set leave zeros."""
+    """BagMinHash signatures (n x size) of weighted sets, in order of ``doc``; elements of no set leave zeros.
+
+    Elements are taken ``SLICE`` at a time, which bounds memory at any length of text: each component keeps its first point."""
     times, names = np.full(n * size, np.inf), np.zeros(n * size, np.uint64)
+    for at in range(0, len(doc), SLICE):
+        own = slice(at, at + SLICE)
+        _points(times, names, doc[own], element[own], weight[own], size)
+    return names.reshape(n, size)
+
+
+def _points(times: np.ndarray, names: np.ndarray, doc: np.ndarray, element: np.ndarray, weight: np.ndarray, size: int) -> None:
+    """Let the points of some elements, in order of ``doc``, into the components' first ``times`` and ``names``."""
+    first, until = int(doc[0]), int(doc[-1]) + 1
+    slowest = times.reshape(-1, size)[first:until]
     parts = [(doc, element, weight, np.zeros(len(doc), np.int64), np.ones(len(doc), np.int64))]
     low = 1
     while len(at := np.flatnonzero(weight > low)):
@@ -102,10 +118,9 @@ def signatures(n: int, doc: np.ndarray, element: np.ndarray, weight: np.ndarray,
         np.minimum.at(times, c, t)
         won = t == times[c]
         names[c[won]] = r[better][won] ^ s[better][won]
-        live = x < times.reshape(n, size).max(1)[d]
+        live = x < slowest.max(1)[d - first]
         if not live.all():
             d, state, w, base, length, x = d[live], state[live], w[live], base[live], length[live], x[live]
-    return names.reshape(n, size)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -120,6 +135,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, row, class, bands) of every row of ``docs(doc_id, text)``; class: 128-bit hash of its words; row: 128 bits of id and text."""
     common.small_batches(docs.sparkSession)
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = normal(batch.column("text"))
@@ -155,6 +171,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: float
     texts = _texts(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct(), classes, docs)
     met = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # A class that stands in many pairs of the batch is cut into shingles once.
@@ -172,18 +189,26 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: float
     return common.written(met.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary"))
 
 
-def leftover(members: DataFrame, named: DataFrame, classes: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+def by_band(rows: DataFrame, facts: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` joined with ``facts``, one row a band.  The facts of hot bands are broadcast (their number is bounded), so that the
+    rows of such a band stay in the tasks that hold them; only the others are moved."""
+    own, mark = facts.join(F.broadcast(hot), "band", "left_semi"), F.broadcast(hot)
+    cold = rows.join(mark, "band", "left_anti").join(facts, "band")
+    return cold.unionByName(rows.join(F.broadcast(own), "band"))
+
+
+def leftover(members: DataFrame, named: DataFrame, classes: DataFrame, docs: DataFrame, least: float, hot: DataFrame) -> DataFrame:
     """Links (a, b) between components, among the members of one band that have only met the band's head.
 
     Bands that hold one component are done.  The members of the others are dealt to blocks bounded in rows and bytes, and
     every two blocks of a band meet in one task, which returns at most one link for each two components it joins."""
-    rows = members.join(named.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = rows.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band")
-    rows = common.written(rows.join(mixed, "band"))
+    rows = common.written(members.join(named.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")))
+    mixed = common.written(rows.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band"))
+    rows = common.written(by_band(rows, mixed, hot))
     texts = _texts(rows.select("class").distinct(), classes, docs)
     sized = rows.join(texts.select("class", F.length("text").alias("size")), "class")
-    parts = sized.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_BYTES)).cast("int").alias("parts"))
-    dealt = rows.join(parts, "band").withColumn("own", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    parts = common.written(sized.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_BYTES)).cast("int").alias("parts")))
+    dealt = by_band(rows, parts, hot).withColumn("own", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     work = dealt.select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "class", "component").join(texts, "class")
 
@@ -229,18 +254,18 @@ def groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rows = common.written(signed(docs))
     classes = common.written(rows.groupBy("class").agg(F.min("row").alias("row"), F.min("doc_id").alias("low"), F.first("bands").alias("bands")))
     banded = classes.select("class", F.explode("bands").alias("band"))
-    # What is known of a band is written before it meets the band's classes: a join of two plain tables can be split where a
-    # band is hot, and sums and maxima are taken in every task before they are moved.
+    # Sums and maxima of a band are taken in every task before they are moved, and written before they meet the band's classes.
     sizes = common.written(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = common.written(banded.join(sizes, "band"))
+    hot = common.written(sizes.where(F.col("n") >= max(2.0, HOT_SHARE * classes.count())).select("band"))
+    shared = common.written(by_band(banded, sizes, hot))
     # A class is the more central, the larger its bands are: copies differ from each other more than from their source.
     central = shared.groupBy("class").agg(F.sum("n").alias("weight"))
     shared = common.written(shared.select("class", "band").join(central, "class"))
     heads = common.written(shared.groupBy("band").agg(F.max(F.struct("weight", "class"))["class"].alias("head")))
-    headed = common.written(shared.join(heads, "band").where("class <> head").select("band", "class", "head"))
+    headed = common.written(by_band(shared, heads, hot).where("class <> head").select("band", "class", "head"))
     links = verified(headed.select(F.col("class").alias("a"), F.col("head").alias("b")).distinct(), classes, docs, least)
     named = common.components(links)
-    late = leftover(headed.select("band", "class"), named, classes, docs, least)
+    late = leftover(headed.select("band", "class"), named, classes, docs, least, hot)
     if not late.isEmpty():
         named = common.components(links.union(late))
     member = classes.select("class", "low").join(named.withColumnRenamed("node", "class"), "class", "left").withColumn("group", F.coalesce("component", "class"))
