@@ -169,7 +169,13 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: float
     """The pairs (a, b) of classes whose multisets are at least ``least`` similar."""
     pairs = common.written(pairs)
     texts = _texts(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct(), classes, docs)
-    met = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
+    # The text of a class that stands in many pairs is met in several tasks: at most 1 / HOT_SHARE classes are in so many.
+    many = max(2.0, HOT_SHARE * pairs.count())
+    heavy = F.broadcast(common.written(pairs.groupBy("b").agg(F.ceil(F.count("*") / many).cast("int").alias("parts")).where("parts > 1")))
+    dealt = pairs.join(heavy, "b", "left").select("a", "b", F.coalesce(F.expr("pmod(xxhash64(a), parts)"), F.lit(0)).cast("int").alias("part"))
+    ends = texts.select(F.col("class").alias("b"), F.col("text").alias("tb")).join(heavy, "b", "left")
+    ends = ends.select("b", "tb", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)")).alias("part"))
+    met = dealt.join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").join(ends, ["b", "part"])
 
     @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
