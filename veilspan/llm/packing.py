@@ -57,6 +57,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, part, key, rel, n, ids): key: of the source, null as well; ids as little-endian uint16; rel: tokens of the same part and source before."""
     schema = "doc_id long, part long, key string, rel long, n long, ids binary"
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, used = _encoder(path), TaskContext.get().partitionId(), {}
         for batch in batches:
@@ -234,6 +235,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, mos
         placed = placed.union(late) if own else late
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue int"
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, to, at, n, raw = batch.columns

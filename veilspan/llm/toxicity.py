@@ -138,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Voters, np.ndarray]:
     common.small_batches(docs.sparkSession)
     rows = training(docs, labels, "toxic", common.fold("doc_id", 5) != 0, MOST_TRAIN)
 
+    @common.lean
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The distinct words of each sampled text: order and repetition do not matter to induction."""
         for batch in batches:
@@ -149,6 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Voters, np.ndarray]:
     voters = Voters(keys)
     shared = docs.sparkSession.sparkContext.broadcast(voters)
 
+    @common.lean
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             on = [np.flatnonzero(shared.value.votes(t.as_py())).tolist() for t in batch.column("text")]
