@@ -40,7 +40,8 @@ BLOCK_ROWS, BLOCK_BYTES = 768, 4 << 20
 MOST_BROADCAST = 1_000_000
 #: Elements (distinct shingles) whose points are drawn at a time.
 SLICE = 1 << 16
-#: A band is hot from this share of all classes on: there are at most ``BANDS / HOT_SHARE`` (32,000) such bands.
+#: A band or group is hot from this share of all classes on, a class from this share of all rows: there are at most
+#: ``BANDS / HOT_SHARE`` (32,000) such bands, and 1,000 such groups and classes.
 HOT_SHARE = 1 / 1000
 _SPACE = r"[^\pL\pN]+"
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -195,12 +196,12 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: float
     return common.written(met.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary"))
 
 
-def by_band(rows: DataFrame, facts: DataFrame, hot: DataFrame) -> DataFrame:
-    """``rows`` joined with ``facts``, one row a band.  The facts of hot bands are broadcast (their number is bounded), so that the
-    rows of such a band stay in the tasks that hold them; only the others are moved."""
-    own, mark = facts.join(F.broadcast(hot), "band", "left_semi"), F.broadcast(hot)
-    cold = rows.join(mark, "band", "left_anti").join(facts, "band")
-    return cold.unionByName(rows.join(F.broadcast(own), "band"))
+def by_key(rows: DataFrame, facts: DataFrame, hot: DataFrame, key: str = "band") -> DataFrame:
+    """``rows`` joined with ``facts``, one row a key.  The facts of ``hot`` keys are broadcast (their number is bounded), so that the
+    rows of such a key stay in the tasks that hold them; only the others are moved."""
+    own, mark = facts.join(F.broadcast(hot), key, "left_semi"), F.broadcast(hot)
+    cold = rows.join(mark, key, "left_anti").join(facts, key)
+    return cold.unionByName(rows.join(F.broadcast(own), key))
 
 
 def leftover(members: DataFrame, named: DataFrame, classes: DataFrame, docs: DataFrame, least: float, hot: DataFrame) -> DataFrame:
@@ -210,11 +211,11 @@ def leftover(members: DataFrame, named: DataFrame, classes: DataFrame, docs: Dat
     every two blocks of a band meet in one task, which returns at most one link for each two components it joins."""
     rows = common.written(members.join(named.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")))
     mixed = common.written(rows.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band"))
-    rows = common.written(by_band(rows, mixed, hot))
+    rows = common.written(by_key(rows, mixed, hot))
     texts = _texts(rows.select("class").distinct(), classes, docs)
     sized = rows.join(texts.select("class", F.length("text").alias("size")), "class")
     parts = common.written(sized.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_BYTES)).cast("int").alias("parts")))
-    dealt = by_band(rows, parts, hot).withColumn("own", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    dealt = by_key(rows, parts, hot).withColumn("own", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     work = dealt.select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "class", "component").join(texts, "class")
 
@@ -258,17 +259,18 @@ def leftover(members: DataFrame, named: DataFrame, classes: DataFrame, docs: Dat
 def groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, row, class, group_id, group) of every row: group_id is the smallest id of its group."""
     rows = common.written(signed(docs))
-    classes = common.written(rows.groupBy("class").agg(F.min("row").alias("row"), F.min("doc_id").alias("low"), F.first("bands").alias("bands")))
+    classes = common.written(rows.groupBy("class").agg(F.min("row").alias("row"), F.min("doc_id").alias("low"), F.first("bands").alias("bands"), F.count("*").alias("n")))
+    least_hot = F.lit(max(2.0, HOT_SHARE * classes.count()))
     banded = classes.select("class", F.explode("bands").alias("band"))
     # Sums and maxima of a band are taken in every task before they are moved, and written before they meet the band's classes.
     sizes = common.written(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
-    hot = common.written(sizes.where(F.col("n") >= max(2.0, HOT_SHARE * classes.count())).select("band"))
-    shared = common.written(by_band(banded, sizes, hot))
+    hot = common.written(sizes.where(F.col("n") >= least_hot).select("band"))
+    shared = common.written(by_key(banded, sizes, hot))
     # A class is the more central, the larger its bands are: copies differ from each other more than from their source.
     central = shared.groupBy("class").agg(F.sum("n").alias("weight"))
     shared = common.written(shared.select("class", "band").join(central, "class"))
     heads = common.written(shared.groupBy("band").agg(F.max(F.struct("weight", "class"))["class"].alias("head")))
-    headed = common.written(by_band(shared, heads, hot).where("class <> head").select("band", "class", "head"))
+    headed = common.written(by_key(shared, heads, hot).where("class <> head").select("band", "class", "head"))
     links = verified(headed.select(F.col("class").alias("a"), F.col("head").alias("b")).distinct(), classes, docs, least)
     named = common.components(links)
     late = leftover(headed.select("band", "class"), named, classes, docs, least, hot)
@@ -276,8 +278,11 @@ def groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         named = common.components(links.union(late))
     member = classes.select("class", "low").join(named.withColumnRenamed("node", "class"), "class", "left").withColumn("group", F.coalesce("component", "class"))
     member = common.written(member.select("class", "low", "group"))
-    lows = member.groupBy("group").agg(F.min("low").alias("group_id"))
-    return rows.select("doc_id", "row", "class").join(member.select("class", "group").join(lows, "group"), "class")
+    lows = common.written(member.groupBy("group").agg(F.min("low").alias("group_id"), F.count("*").alias("n")))
+    large = common.written(lows.where(F.col("n") >= least_hot).select("group"))
+    facts = common.written(by_key(member.select("class", "group"), lows.drop("n"), large, "group"))
+    copied = common.written(classes.where(F.col("n") >= max(2.0, HOT_SHARE * rows.count())).select("class"))
+    return by_key(rows.select("doc_id", "row", "class"), facts, copied, "class")
 
 
 def deduplicated(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
