@@ -238,6 +238,25 @@ def test_groups_match_brute_force(spark):
     assert neardup.groups(empty(spark)).count() == 0
 
 
+def test_facts_meet_hot_and_cold_keys_alike(spark):
+    rows = spark.createDataFrame([(k % 7, k) for k in range(50)] + [(99, 1)], "band long, n long")
+    facts = spark.createDataFrame([(k, f"f{k}") for k in range(6)], "band long, fact string")
+    for hot in ([], [0, 3], [0, 1, 2, 3, 4, 5]):
+        keys = spark.createDataFrame([(k,) for k in hot], "band long")
+        got = sorted((r.band, r.n, r.fact) for r in neardup.by_key(rows, facts, keys).collect())
+        assert got == sorted((k % 7, k, f"f{k % 7}") for k in range(50) if k % 7 < 6)
+
+
+def test_signatures_do_not_depend_on_slices(monkeypatch):
+    rng = np.random.default_rng(1)
+    doc = np.sort(rng.integers(0, 5, 400))
+    element, weight = rng.integers(0, 2**63, 400).astype(np.uint64), rng.choice([1, 2, 9], 400)
+    whole = neardup.signatures(6, doc, element, weight, 40)
+    monkeypatch.setattr(neardup, "SLICE", 7)
+    assert (neardup.signatures(6, doc, element, weight, 40) == whole).all()
+    assert (neardup.signatures(2, doc[:0], element[:0], weight[:0], 40) == 0).all()
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (200, 200)], "a long, b long")
     got = {r.node: r.component for r in common.components(edges).collect()}
