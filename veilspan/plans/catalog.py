@@ -11,7 +11,7 @@ from ..functions import enums
 from ..functions.hashing import hmac_sha256
 from ..operators import classification, dependencies, detectors, evaluation, mappings, normalization, parsers, policy, regions, sentinel, wire
 from ..sources.tables import table
-from . import composed, planted
+from . import assured, composed, planted
 from .fixtures import frame, with_
 
 KEY = b"synthetic-key"
@@ -544,8 +544,8 @@ def audit_hmac(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return _queries | planted.queries() | composed.queries()
+    return _queries | planted.queries() | composed.queries() | assured.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _oracles | planted.oracle_sql() | composed.oracle_sql()
+    return _oracles | planted.oracle_sql() | composed.oracle_sql() | assured.oracle_sql()
