@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import gzip
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detection, detectors, governance, parsers, regions
+from ..operators import detection, detectors, governance, parsers, regions, unwrapping
 from ..sources.tables import table
 from .planted import Query, _rows, _spelt, _texts
 
@@ -200,7 +202,26 @@ def placeholders(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("c_custkey", "text", kind.alias("kind"), n.alias("number"))
 
 
+_PLAIN = f"mail {EMAIL} now"
+_GZIP = gzip.compress(_PLAIN.encode(), mtime=0)
+#: (text, its readings: depth, form, text or nothing).
+WRAPPED = (
+    ("".join(f"\\u{ord(c):04x}" for c in _PLAIN), ((1, "ESCAPES", _PLAIN),)), ("".join(f"&#x{ord(c):x};" for c in _PLAIN), ((1, "ESCAPES", _PLAIN),)), ("".join(f"={ord(c):02X}" for c in _PLAIN), ((1, "ESCAPES", _PLAIN),)),
+    ("".join(f"&amp;#{ord(c)};" for c in _PLAIN), ((1, "ESCAPES", "".join(f"&#{ord(c)};" for c in _PLAIN)), (2, "ESCAPES", _PLAIN))), (_PLAIN.encode().hex(" "), ((1, "BYTE_PAIRS", _PLAIN),)), (str(list(_PLAIN.encode())), ((1, "DECIMAL_BYTES", _PLAIN),)),
+    (base64.b64encode(_GZIP).decode(), ((1, "COMPRESSED", _PLAIN),)), (base64.b64encode(zlib.compress(_PLAIN.encode())).decode(), ((1, "COMPRESSED", _PLAIN),)), (base64.b64encode(b"PK\x03\x04" + b"0" * 20).decode(), ((1, "OPAQUE", None),)), (_PLAIN, ()),
+)
+
+
+def unwrapped_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """What texts say beneath escapes, lists of bytes and compression, for each supplier."""
+    rows = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(WRAPPED)], "n int, text string")  # ten rows
+    texts = table(spark, folder, "supplier").crossJoin(F.broadcast(rows)).select((F.col("s_suppkey") * 100 + F.col("n")).cast("long").alias("id"), "text")
+    return unwrapping.unwrappings(texts, "id")
+
+
+_UNWRAPPED_SQL = f"select (s_suppkey * 100 + n)::bigint as id, depth, form, reading from supplier cross join (values {', '.join(f'({n}, {d}, {f!r}, {_value(t)})' for n, (_, found) in enumerate(WRAPPED) for d, f, t in found)}) v(n, depth, form, reading)"
 _OWN: dict[str, tuple[Query, str]] = {
+    "unwrapped_texts": (unwrapped_texts, _UNWRAPPED_SQL),
     "detections_over_views": (detections_over_views, _VIEWS_SQL), "detections_over_fields": (detections_over_fields, _FIELDS_SQL), "hinted_fields": (hinted_fields, _HINTS_SQL), "engineering_keys": (engineering_keys, _KEYED_SQL),
     "external_findings": (external_findings, """select (s_suppkey * 100 + n)::bigint as id, kind as semantic_type, subtype, a as start, b as stop, s / 100 as score from supplier cross join (values (0, 'PERSON', 'EMAIL', 0, 5, 90), (0, 'PERSON', null, 2, 4, 50), (1, 'NETWORK_IDENTIFIER', 'URL', 1, 3, 50)) t(n, kind, subtype, a, b, s)"""),
     "external_status": (external_status, f"select (s_suppkey * 100 + n)::bigint as id, status, reason, unsupported::bigint as unsupported from supplier cross join (values {_rows(list(STATES))}) t(n, status, reason, unsupported)"),
