@@ -449,6 +449,36 @@ def test_classifiers_hold_out(spark):
     assert quality.score(quality.fit(x[:0], y[:0]), x[:2]).tolist() == [0.5, 0.5]
 
 
+def test_quality_fits_every_pair():
+    draw = np.random.default_rng(3)
+    x = draw.random((90, len(quality.features(""))))
+    y = (x[:, 0] + x[:, 1] + draw.normal(0, 0.3, 90) > 0.8).astype(int)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-6)
+    d = (z[y == 1][:, None] - z[y == 0]).reshape(-1, z.shape[1])  # all pairs
+    w = np.zeros(z.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-d @ w))
+        w += np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(len(w)), d.T @ (1 - p) / len(d) - 1e-3 * w)
+    order, bad = np.sort(z @ w), int((y == 0).sum())
+    want = 1 / (1 + np.exp((order[bad - 1] + order[bad]) / 2 - z @ w))
+    assert np.abs(quality.score(quality.fit(x, y), x) - want).max() < 1e-2
+    turned = draw.permutation(90)
+    assert (quality.score(quality.fit(x[turned], y[turned]), x) == quality.score(quality.fit(x, y), x)).all()
+
+
+def test_quality_learns_from_every_row(spark, tmp_path):
+    draw, n = np.random.default_rng(5), 36_000
+    bad = draw.random(n) < 0.3
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz     ,.-;:"))
+    texts = ["".join(draw.choice(letters, draw.integers(60, 90))) + "#!?"[k % 3] * int(draw.integers(0, 4) + 2 * b) for k, b in enumerate(bad)]
+    pd.DataFrame({"doc_id": range(n), "text": texts}).to_parquet(tmp_path / "documents.parquet")
+    pd.DataFrame({"doc_id": range(n), "quality": (~bad).astype("int32")}).to_parquet(tmp_path / "labels.parquet")
+    got = quality.op2_quality(spark, str(tmp_path)).toPandas().set_index("doc_id")
+    train = ~got.held_out.to_numpy(bool)[np.argsort(got.index)]
+    # The threshold is the quantile of all training scores, more than 20,000 of them.
+    assert train.sum() > 20_000 and (got.sort_index().predicted.to_numpy()[train] == 0).sum() == bad[train].sum()
+
+
 def test_language(spark):
     langs = {"aa": "kalo mira tenu soba ", "bb": "xruth vwelk gneld phosk ", "cc": "ñandú año peñón "}
     data = [(k, " ".join(np.random.default_rng(k).permutation((t * 5).split())), l) for k in range(90) for i, (l, t) in enumerate(langs.items()) if k % 3 == i]

@@ -1,8 +1,12 @@
 """Document quality by Bradley-Terry pairwise ranking.
 
-Preference pairs (a document marked good against one marked bad) from a bounded, hash-chosen sample of labelled training
-rows fix a linear worth by logistic loss on feature differences; the score quantile at the training share of bad
-documents is the threshold, and a score is the chance of beating a document at that threshold.
+Preference pairs (a document marked good against one marked bad) fix a linear worth by logistic loss on feature differences;
+the score quantile at the training share of bad documents is the threshold, and a score is the chance of beating a document
+at that threshold. Every labelled training row and every pair of them counts. Pairs are not made: the loss of a pair hangs
+on two worths only, so rows are shared out between nodes on the line of worths, and the nodes of the good meet those of the bad.
+
+Features in deviations, weights and shares of nodes are whole numbers of small parts, so sums are exact: a model is the same
+in whatever order and partitions its rows come.
 
 Defined cases: null and empty texts have the features of an empty text and a score like any other; null ids count as held
 out; label rows that are null, repeated or without a document train nothing twice; without both labels in the training
@@ -11,7 +15,7 @@ rows every score is 0.5; extra columns are ignored; whole texts are read at any
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
@@ -21,8 +25,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: The most labelled rows that are fitted, pairs drawn from them, and the weight decay.
-MOST_TRAIN, MOST_PAIRS, DECAY = 20_000, 200_000, 1e-3
+#: The weight decay, and bits behind the point: of features in deviations, weights, worths, shares of a fine or coarse node, and moments.
+DECAY, Z, W, WORTH, SHARE, HALF, MOMENT = 1e-3, 12, 20, 32, 18, 8, 30
+#: Bits of a worth below a node: fine nodes are 1/16 apart (slopes, error under 1e-7), coarse ones 1/2 (curvature, which only speeds the steps).
+FINE, COARSE = WORTH - 4, WORTH - 1
 #: ASCII marks that are counted one by one.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _MARK_BYTES = np.frombuffer(MARKS.encode(), np.uint8)
@@ -56,37 +62,148 @@ def features(text: str | None) -> np.ndarray:
     )
 
 
-def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> dict:
-    """Bradley-Terry worths over features ``x`` of documents marked ``y`` (1 good, 0 bad), and the quantile threshold."""
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    mean, scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(features("").shape), np.ones(features("").shape))
-    if not len(good) or not len(bad):
-        return {"mean": mean, "w": np.zeros(len(mean)), "threshold": 0.0, "slope": 1.0}
-    z = np.clip((x - mean) / scale, -8, 8)
-    draw = np.random.default_rng(seed)
-    n = min(MOST_PAIRS, len(good) * len(bad))
-    d = z[draw.choice(good, n)] - z[draw.choice(bad, n)]
-    w = np.zeros(z.shape[1])
-    for _ in range(25):  # Newton steps on the logistic loss of differences
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / n + DECAY * np.eye(len(w)), d.T @ (1 - p) / n - DECAY * w)
-        w += step
-        if np.abs(step).max() < 1e-6:
+SIZE = len(features(""))
+_UPPER = np.triu_indices(SIZE + 1)
+#: (features, labels) of some rows -> sums of whole numbers by key; and the sums of such a count over all rows.
+Count = Callable[[np.ndarray, np.ndarray], dict[int, np.ndarray]]
+Total = Callable[[Count], dict[int, np.ndarray]]
+
+
+def moments(x: np.ndarray, y: np.ndarray) -> dict[int, np.ndarray]:
+    """By label: rows, and sums of features and their squares."""
+    parts = np.column_stack([np.ones(len(x)), np.rint(x * 2**MOMENT), np.rint(x * x * 2**MOMENT)]).astype(np.int64)
+    return {c: parts[y == c].sum(0) for c in (0, 1) if (y == c).any()}
+
+
+def _whole(model: dict, x: np.ndarray) -> np.ndarray:
+    return np.rint(np.clip((x - model["mean"]) / model["scale"], -8, 8) * 2**Z)
+
+
+def worths(model: dict, x: np.ndarray) -> np.ndarray:
+    """Worths in parts of 2**-WORTH; the sums stay below 2**53 and are exact."""
+    return (_whole(model, x) @ model["w"]).astype(np.int64)
+
+
+def tallied(model: dict) -> Count:
+    """By node of the line of worths, times 4, and label (coarse nodes: and 2): rows and sums of features, or of their products, shared
+    out by cubic (coarse: linear) interpolation."""
+
+    def run(x: np.ndarray, y: np.ndarray) -> dict[int, np.ndarray]:
+        out, every = {}, _whole(model, x)
+        for c in (0, 1):
+            q = every[y == c]
+            if not len(q):
+                continue
+            s = (q @ model["w"]).astype(np.int64)
+            node, t = s >> FINE, (s & (2**FINE - 1)) / 2**FINE
+            share = np.rint(np.array([-t * (t - 1) * (t - 2) / 6, t * 0, -(t + 1) * t * (t - 2) / 2, (t + 1) * t * (t - 1) / 6]) * 2**SHARE)
+            share[1] = 2**SHARE - share.sum(0)
+            low, values = node.min() - 1, np.column_stack([np.ones(len(q)), q])
+            n = int(node.max() - low) + 3
+            sums = np.array([sum(np.bincount(node - low - 1 + d, share[d] * v, n) for d in range(4)) for v in values.T]).T.astype(np.int64)
+            out |= {int(low + k) * 4 + c: sums[k] for k in np.flatnonzero(sums.any(1))}
+            node, t = s >> COARSE, np.rint((s & (2**COARSE - 1)) / 2**COARSE * 2**HALF)
+            values[:, 1:] = np.rint(q / 16)
+            for k in np.unique([node, node + 1]):
+                v, part = values[on := (node == k) | (node == k - 1)], np.where(node == k, 2**HALF - t, t)[on]
+                out[int(k) * 4 + 2 + c] = ((v * part[:, None]).T @ v)[_UPPER].astype(np.int64)
+        return out
+
+    return run
+
+
+def _met(sums: dict[int, np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean logistic loss over all pairs of good and bad rows, its fall along the weights, and its curvature."""
+
+    def side(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        keys = sorted(k for k in sums if k & 3 == kind)
+        return np.array([k >> 2 for k in keys]), np.array([sums[k] for k in keys], float)
+
+    (at_bad, bad), (at_good, good), (low, bads), (high, goods) = map(side, range(4))
+    pairs, lost, fall = good[:, 0].sum() * bad[:, 0].sum(), 0.0, np.zeros(SIZE)
+    for k in range(0, len(good), 256):
+        some = good[k : k + 256]
+        gap = np.clip((at_good[k : k + 256, None] - at_bad) * 2.0 ** (FINE - WORTH), -500, 500)
+        p = 1 / (1 + np.exp(gap))
+        lost += some[:, 0] @ np.logaddexp(0, -gap) @ bad[:, 0]
+        fall += (p @ bad[:, 0]) @ some[:, 1:] - (some[:, 0] @ p) @ bad[:, 1:]
+    p = 1 / (1 + np.exp(np.clip((high[:, None] - low) * 2.0 ** (COARSE - WORTH), -500, 500)))
+    p *= 1 - p
+
+    def summed(weights: np.ndarray, products: np.ndarray) -> np.ndarray:
+        m = np.zeros((SIZE + 1, SIZE + 1))
+        m[_UPPER] = weights @ products
+        return (m + np.triu(m, 1).T)[1:, 1:]
+
+    row = slice(1, SIZE + 1)  # of the products: row 0 is the count and the sums
+    cross = goods[:, row].T @ p @ bads[:, row]
+    bend = summed(p @ bads[:, 0], goods) + summed(goods[:, 0] @ p, bads) - cross - cross.T
+    return lost / pairs, fall / pairs / 2**Z, bend / (goods[:, 0].sum() * bads[:, 0].sum()) / 4.0 ** (Z - 4)
+
+
+def ranked(total: Total, model: dict, places: list[int]) -> list[int]:
+    """The worths at these places in the order of all rows, by counts in ever finer bins."""
+    found: list[tuple[int | None, int]] = [(None, k) for k in places]
+    for shift in (36, 24, 12, 0):
+        bins = [b for b, _ in found if b is not None]
+
+        def counts(x: np.ndarray, y: np.ndarray, shift: int = shift, bins: list[int] = bins) -> dict[int, np.ndarray]:
+            s = worths(model, x)
+            values, n = np.unique((s[np.isin(s >> (shift + 12), bins)] if bins else s) >> shift, return_counts=True)
+            return {int(v): n[k : k + 1] for k, v in enumerate(values)}
+
+        got = total(counts)
+        for i, (b, place) in enumerate(found):
+            for v in sorted(v for v in got if b is None or v >> 12 == b):
+                if place < got[v][0]:
+                    found[i] = v, place
+                    break
+                place -= int(got[v][0])
+    return [b for b, _ in found]
+
+
+def fitted(total: Total) -> dict:
+    """Bradley-Terry worths over all rows that ``total`` counts, and the quantile threshold."""
+    model = {"mean": np.zeros(SIZE), "scale": np.ones(SIZE), "w": np.zeros(SIZE), "threshold": 0.0}
+    sums = total(moments)
+    if len(sums) < 2:
+        return model
+    both = sums[0] + sums[1]
+    n, share = int(both[0]), int(sums[0][0]) / int(both[0])
+    model["mean"] = both[1 : SIZE + 1] / 2**MOMENT / n
+    model["scale"] = np.sqrt(np.maximum(0, both[SIZE + 1 :] / 2**MOMENT / n - model["mean"] ** 2)) + 1e-6
+    best, least, step = np.zeros(SIZE), np.inf, np.zeros(SIZE)
+    for _ in range(50):  # Newton steps on the logistic loss of differences, halved where the loss grows
+        w = np.rint((best + step) * 2**W)
+        lost, fall, bend = _met(total(tallied(model | {"w": w})))
+        w = w / 2**W
+        lost += DECAY / 2 * w @ w
+        if lost > least + 1e-7:
+            step = step / 2
+        else:
+            best, least = w, lost
+            step = np.linalg.solve(bend + DECAY * np.eye(SIZE), fall - DECAY * w)
+        if np.abs(step).max() < 1e-4:
             break
-    worth = z @ w
-    share = len(bad) / len(y)
+    model["w"] = np.rint(best * 2**W)
     # The quantile of the training scores at the share of bad ones, in the middle of the gap there.
-    order = np.sort(worth)
-    at = min(len(order) - 1, max(1, round(share * len(order))))
-    threshold = (order[at - 1] + order[at]) / 2
-    return {"mean": mean, "w": w / scale, "scale": scale, "threshold": float(threshold), "slope": 1.0}
+    at = min(n - 1, max(1, round(share * n)))
+    model["threshold"] = sum(ranked(total, model, [at - 1, at])) / 2
+    return model
+
+
+def fit(x: np.ndarray, y: np.ndarray) -> dict:
+    """``fitted`` over features ``x`` of documents marked ``y`` (1 good, 0 bad)."""
+    return fitted(lambda count: count(x, y))
 
 
 def score(model: dict, x: np.ndarray) -> np.ndarray:
-    z = x - model["mean"]
-    if "scale" in model:
-        z = np.clip(z, -8 * model["scale"], 8 * model["scale"])
-    return 1 / (1 + np.exp(-np.clip(model["slope"] * (z @ model["w"] - model["threshold"]), -30, 30)))
+    return 1 / (1 + np.exp(-np.clip((worths(model, x) - model["threshold"]) / 2**WORTH, -30, 30)))
+
+
+def marked(labels: DataFrame, label: str, rows) -> DataFrame:
+    """(doc_id, y) of the labelled documents among ``rows`` (a condition on doc_id)."""
+    return labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & rows).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
 
 
 def training(docs: DataFrame, labels: DataFrame, label: str, rows, most: int) -> DataFrame:
@@ -94,35 +211,72 @@ def training(docs: DataFrame, labels: DataFrame, label: str, rows, most: int) ->
 
     The labels are sampled before they meet the texts, so only sampled texts are moved.
     """
-    marked = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & rows).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    kept = common.bounded_sample(marked, "doc_id", most)
+    kept = common.bounded_sample(marked(labels, label, rows), "doc_id", most)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(kept, "doc_id").select("doc_id", "text", "y")
 
 
-def op2_quality(spark, sf_dir: str) -> DataFrame:
-    """The quality score of every document."""
-    common.small_batches(spark)
-    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
-    train = training(docs, labels, "quality", common.fold("doc_id", 3) != 1, MOST_TRAIN)
+def over(rows: DataFrame) -> Total:
+    """Sums over all of ``rows(y, x)``: each task adds its own rows, then the sums of all tasks are added by key."""
 
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([features(t.as_py()).tolist() for t in batch.column("text")], pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+    def tallies(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["key", "sums"])
 
-    got = train.mapInArrow(measured, "doc_id long, y int, x array<double>").orderBy("doc_id").toPandas()  # at most MOST_TRAIN rows
-    x = np.array(got.x.tolist()).reshape(len(got), -1) if len(got) else np.zeros((0, len(features(""))))
-    return scored(docs, fit(x, got.y.to_numpy()), 3, 1)
+    def total(count: Count) -> dict[int, np.ndarray]:
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, v in count(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, SIZE), batch.column("y").to_numpy(zero_copy_only=False)).items():
+                    sums[k] = sums[k] + v if k in sums else v
+            yield tallies(sums)
 
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, v in zip(batch.column("key").to_pylist(), batch.column("sums"), strict=True):
+                    v = np.frombuffer(v.as_py(), np.int64)
+                    sums[k] = sums[k] + v if k in sums else v
+            yield tallies(sums)
 
-def scored(docs: DataFrame, model: dict, folds: int, held: int) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row."""
+        schema = "key long, sums binary"
+        return {r.key: np.frombuffer(r.sums, np.int64) for r in rows.mapInArrow(counted, schema).repartition("key").mapInArrow(added, schema).collect()}
+
+    return total
+
+
+def measured(docs: DataFrame, folds: int, held: int) -> DataFrame:
+    """(doc_id, held_out, x) of every row: the features of its whole text."""
     common.small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = score(shared.value, np.array([features(t.as_py()) for t in batch.column("text")]).reshape(batch.num_rows, -1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array(s >= 0.5).cast(pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
+            x = np.array([features(t.as_py()) for t in batch.column("text")])
+            lists = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * SIZE, x.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), lists], names=["doc_id", "held_out", "x"])
 
     out = F.coalesce(common.fold("doc_id", folds) == held, F.lit(True)).alias("held_out")
-    return docs.select("doc_id", F.col("text").cast("string"), out).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", F.col("text").cast("string"), out).mapInArrow(run, "doc_id long, held_out boolean, x array<double>")
+
+
+def judged(rows: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of rows that are ``measured``."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = score(shared.value, batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, SIZE))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array(s >= 0.5).cast(pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
+
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def scored(docs: DataFrame, model: dict, folds: int, held: int) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row."""
+    return judged(measured(docs, folds, held), model)
+
+
+def op2_quality(spark, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    rows = common.written(measured(docs, 3, 1))  # texts are read once: features train and are scored
+    train = rows.where("not held_out").join(marked(labels, "quality", common.fold("doc_id", 3) != 1), "doc_id").select("y", "x")
+    return judged(rows, fitted(over(common.written(train))))
