@@ -423,6 +423,23 @@ def test_short_items_and_items_without_id_are_found(spark):
     assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {100 * n + 2 for n in items}
 
 
+def test_seeds_are_compiled_and_whole(spark):
+    cut = {n: [f"w{k % 7}" for k in range(n)] for n in (0, 1, 2, 5, 8, 15, 30, 4000)}
+    texts = spark.createDataFrame([(n, " ".join(t)) for n, t in cut.items()] + [(-1, None)], "key long, text string").select("key", decontam.tokens("text").alias("h"))
+    masks = decontam.masks_for({1, 5, 15})
+    for own in (False, True):
+        rows = decontam.seeds(texts, masks, own)
+        got = rows.collect()
+        want = [(n, i, k, *[t[i + o] for o in mask]) for n, t in cut.items() for k, (mask, lengths) in enumerate(masks.items()) if not own or not lengths or n in lengths for i in range(n - max(mask))]
+        assert sorted((r.key, r.pos) for r in got) == sorted(w[:2] for w in want)
+        # A seed stands for a mask and its tokens, wherever they are.
+        assert sorted(Counter(r.seed for r in got).values()) == sorted(Counter(w[2:] for w in want).values())
+        # Seeds come from compiled steps (marked by a star), in which the tokens are cut once and nothing else is interpreted.
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        lines = [x for x in plan.splitlines() if "Generate" in x]
+        assert lines and all(re.match(r"[\s:+-]*\*\(\d+\) Generate", x) and "lambda" not in x for x in lines) and plan.count("split(") == 1
+
+
 # ---- classifiers
 
 def labelled(spark, n=300):
